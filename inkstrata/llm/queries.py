@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, overlap, sentences
+from . import canon, leak, overlap, sentences
 from .common import table
 
 
@@ -43,10 +43,16 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return other.groupBy("split", "source").agg(F.count("*").alias("documents"), F.count("coverage").alias("overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole sentence of an evaluation item's passage."""
+    found = leak.contained_items(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "eval_items"), "item_id")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence unit of every document."""
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p9_found, p10_found)}
 ORACLE: dict[str, str] = {}
