@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, leak, overlap, sentences
+from . import canon, langid, leak, overlap, sentences
 from .common import table
 
 
@@ -43,6 +43,32 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return other.groupBy("split", "source").agg(F.count("*").alias("documents"), F.count("coverage").alias("overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last delivery of each sample: its label's language and the segments of its text."""
+    label = F.when(F.contains(F.col("domain"), F.lit("/")), F.element_at(F.split("domain", "/"), -1))
+    rows = table(spark, sf_dir, "hf_samples").select("sample_id", "text", "loaded_at", F.trim(label).alias("label"))
+    reference = langid.fit_parser(rows, "text", "label", "sample_id")
+    found = langid.language_segments(rows.where("sample_id is not null"), "text", ["sample_id", "label", "loaded_at"], reference)
+    return found.groupBy("sample_id").agg(F.max_by(F.struct("label", "segments"), F.coalesce("loaded_at", F.timestamp_seconds(F.lit(0)))).alias("last")).select("sample_id", "last.*")
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every sample with its language and confidence."""
+    return _languages(spark, sf_dir).select("sample_id", F.posexplode("segments").alias("segment", "s")).select("sample_id", "segment", F.col("s.start").alias("seg_start"), "s.lang", "s.confidence")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose label is missing or wrong, and the segments of mixed samples."""
+    codes = F.create_map(*[F.lit(x) for pair in langid.CODE_OF.items() for x in pair])
+    word = F.lower("label")
+    rows = _languages(spark, sf_dir).withColumn("code", F.coalesce(codes[word], codes[F.split(word, "[-_]")[0]]))
+    mixed = F.size("segments") > 1
+    off = (F.size("segments") == 1) & (F.col("code").isNull() | (F.col("code") != F.col("segments")[0]["lang"]))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.try_element_at("segments", F.lit(1))["lang"].alias("lang")))
+    many = F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["lang"].alias("lang")))
+    return rows.where(mixed | off).select("sample_id", F.explode(F.when(mixed, many).otherwise(one)).alias("s")).select("sample_id", F.col("s.start").alias("seg_start"), "s.lang")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a whole sentence of an evaluation item's passage."""
     found = leak.contained_items(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "eval_items"), "item_id")
@@ -54,5 +80,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p9_found, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p6_found, p6_languages, p9_found, p10_found)}
 ORACLE: dict[str, str] = {}
