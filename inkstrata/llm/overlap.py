@@ -29,10 +29,14 @@ from .canon import mix, plain, token_hashes
 from .common import cut
 
 #: Tokens of a k-gram and k-grams of a window, for records of up to SHORT and from LONG tokens; those between have both kinds.
-SCALES = ((3, 2, 0, 56), (5, 5, 40, 1 << 60))
+SCALES = ((3, 2, 0, 56), (5, 6, 40, 1 << 60))
 #: A fingerprint shared by at most so many pairs of classes is always joined; beyond it, a class's RAREST ones.
 PAIRS, RAREST = 200, 12
 SHARE = 0.85
+#: Least part of the smaller record's fingerprints that a candidate pair shares (one at least); a share of 0.85 leaves about a third.
+SEEDED = 0.06
+#: Ids of records to align that may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def kgrams(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -159,14 +163,17 @@ def aligned(a: np.ndarray, b: np.ndarray, k: int = 5) -> int:
 
 
 def _records(df: DataFrame, id_col: str, text: str, side: str) -> DataFrame:
+    """``id, train, meta, c1, c2, prints``; meta is the number of tokens, c1 and c2 are the class key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, keys, prints = fingerprints([plain(t) for t in b.column(2).to_pylist()])
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int32()), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], ["id", "train", "n", "cls", "prints"])
+            halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(prints, pa.list_(pa.int64()))], ["id", "train", "n", "c1", "c2", "prints"])
             yield out.filter(pa.compute.greater(out.column(2), 0))
 
     rows = df.select(F.col(id_col).alias("id"), F.col(side).alias("train"), F.col(text).alias("text")).where("id is not null and train is not null and text is not null")
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, train boolean, n int, cls binary, prints array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, train boolean, n int, c1 long, c2 long, prints array<long>")
 
 
 def _tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -187,23 +194,31 @@ def cross_split_pairs(df: DataFrame, id_col: str, train: str, text: str = "text"
     ``train`` names a boolean column: true for training records, false for the others, null for rows that take no part.
     """
     records = cut(_records(df, id_col, text, train))
-    members = records.select("cls", "id", "train").distinct()
-    classes = records.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("o"))
-    # One record of each class; its fingerprints once.
-    reps = cut(records.select(F.col("id").alias("rep"), "prints").join(classes, "rep", "inner").dropDuplicates(["rep"]).select("rep", "cls", "n", "t", "o", "prints"))
-    prints = reps.select("rep", "n", "t", "o", F.explode("prints").alias("fp"))
-    shared = prints.groupBy("fp").agg(F.count_if("t").alias("nt"), F.count_if("o").alias("no"), F.count("*").alias("both")).where("nt > 0 and no > 0 and both > 1").select("fp", (F.col("nt") * F.col("no")).alias("pairs"))
+    cls = ["c1", "c2"]
+    members = records.select(*cls, "id", "train").distinct()
+    classes = records.groupBy(*cls).agg(F.min("id").alias("rep"), F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("o"))
+    # One record of each class. Both its uses below read one shuffle; the side flags, tokens and number of fingerprints travel as one number.
+    reps = records.select(F.col("id").alias("rep"), "n", "prints").join(classes.select("rep", "t", "o"), "rep").dropDuplicates(["rep"])
+    meta = (F.col("n").cast("long") * (1 << 32) + F.least(F.size("prints"), F.lit((1 << 29) - 1)) * 4 + F.when(F.col("t"), 2).otherwise(0) + F.when(F.col("o"), 1).otherwise(0)).alias("meta")
+    prints = reps.select("rep", meta, F.explode("prints").alias("fp"))
+    is_t, is_o = F.col("meta").bitwiseAND(2) > 0, F.col("meta").bitwiseAND(1) > 0
+    sides = F.sum(F.when(is_t, 1 << 31).otherwise(0) + F.when(is_o, 1).otherwise(0)).alias("sides")
+    nt, no = F.shiftright("sides", 31), F.col("sides").bitwiseAND((1 << 31) - 1)
+    # A class with records on both sides counts on both: alone it gives a product of one.
+    shared = prints.groupBy("fp").agg(sides, F.count("*").alias("both")).where((nt > 0) & (no > 0) & (F.col("both") > 1)).select("fp", (nt * no).alias("pairs"))
     useful = cut(prints.join(shared, "fp"))
     rank = F.row_number().over(W.partitionBy("rep").orderBy("pairs", "fp"))
-    useful = useful.withColumn("rank", rank).where((F.col("pairs") <= PAIRS) | (F.col("rank") <= RAREST))
-    a, b = useful.where("t").alias("a"), useful.where("o").alias("b")
-    near = (F.col("a.fp") == F.col("b.fp")) & (F.col("a.rep") != F.col("b.rep")) & (F.least("a.n", "b.n") >= share * F.greatest("a.n", "b.n"))
-    found = a.join(b, near).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
-    # Aligned once for either order.
-    pairs = cut(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    useful = useful.withColumn("rank", rank).where((F.col("pairs") <= PAIRS) | (F.col("rank") <= RAREST)).select("fp", "rep", "meta")
+    a, b = useful.where(is_t).alias("a"), useful.where(is_o).alias("b")
+    n, size = (lambda x: F.shiftright(f"{x}.meta", 32)), (lambda x: F.shiftright(f"{x}.meta", 2).bitwiseAND((1 << 29) - 1))
+    near = (F.col("a.fp") == F.col("b.fp")) & (F.col("a.rep") != F.col("b.rep")) & (F.least(n("a"), n("b")) >= share * F.greatest(n("a"), n("b")))
+    seeds = a.join(b, near).select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"), F.least(size("a"), size("b")).alias("size"), "a.fp")
+    # A pair of classes that are both on both sides meets twice; aligned once.
+    pairs = cut(seeds.groupBy("x", "y").agg(F.count("fp").alias("seeds"), F.first("size").alias("size")).where(F.col("seeds") >= F.greatest(F.lit(1.0), SEEDED * F.col("size"))).select("x", "y"))
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    text_of = _tokens(df.where(F.col(text).isNotNull()).join(wanted, df[id_col] == wanted["id"], "left_semi").dropDuplicates([id_col]), id_col, text)
-    text_of = cut(text_of)
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    text_of = cut(_tokens(df.where(F.col(text).isNotNull()).join(wanted, df[id_col] == wanted["id"], "left_semi"), id_col, text).dropDuplicates(["id"]))
     both = pairs.join(text_of.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x").join(text_of.select(F.col("id").alias("y"), F.col("tokens").alias("ty")), "y")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +237,9 @@ def cross_split_pairs(df: DataFrame, id_col: str, train: str, text: str = "text"
     kind = df.schema[id_col].dataType.simpleString()
     near_pairs = both.select("x", "y", "tx", "ty").mapInArrow(align, f"x {kind}, y {kind}, coverage double")
     # Back to all members of the classes.
-    cls_of = reps.select("rep", "cls", "t", "o")
-    links = near_pairs.join(cls_of.select(F.col("rep").alias("x"), F.col("cls").alias("cx")), "x").join(cls_of.select(F.col("rep").alias("y"), F.col("cls").alias("cy")), "y")
-    links = links.select(F.explode(F.array(F.struct(F.col("cx").alias("ct"), F.col("cy").alias("co"), "coverage"), F.struct(F.col("cy").alias("ct"), F.col("cx").alias("co"), "coverage"))).alias("l")).select("l.*")
-    links = links.unionByName(cls_of.where("t and o").select(F.col("cls").alias("ct"), F.col("cls").alias("co"), F.lit(1.0).alias("coverage")))
-    t = members.where("train").select(F.col("cls").alias("ct"), F.col("id").alias("train_id"))
-    o = members.where("not train").select(F.col("cls").alias("co"), F.col("id").alias("other_id"))
-    return links.join(t, "ct").join(o, "co").select("train_id", "other_id", "coverage")
+    named = classes.select("rep", *cls, "t", "o")
+    links = near_pairs.select(F.explode(F.array(F.struct("x", "y", "coverage"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "coverage"))).alias("l")).select("l.*")
+    sure = named.where("t and o").select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("coverage"))
+    linked = links.unionByName(sure)
+    of = lambda side, key, name: members.where(side).join(named.select("rep", *cls), cls).select(F.col("rep").alias(key), F.col("id").alias(name))
+    return linked.join(of("train", "x", "train_id"), "x").join(of("not train", "y", "other_id"), "y").select("train_id", "other_id", "coverage")

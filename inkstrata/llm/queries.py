@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, langid, leak, overlap, sentences
+from . import canon, langid, leak, overlap, pairs, sentences
 from .common import table
 
 
@@ -69,6 +69,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(mixed | off).select("sample_id", F.explode(F.when(mixed, many).otherwise(one)).alias("s")).select("sample_id", F.col("s.start").alias("seg_start"), "s.lang")
 
 
+def p7_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect of every edit pair with the classifier's score."""
+    label = F.when(F.contains(F.col("domain"), F.lit("/")), F.element_at(F.split("domain", "/"), -1))
+    labelled = table(spark, sf_dir, "hf_samples").select("sample_id", "text", label.alias("label"))
+    reference = langid.fit_parser(labelled, "text", "label", "sample_id")
+    return pairs.broken_pairs(table(spark, sf_dir, "edit_pairs"), "id", reference, order="loaded_at")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defects of the edit pairs."""
+    return p7_defects(spark, sf_dir).select("id", "defect")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a whole sentence of an evaluation item's passage."""
     found = leak.contained_items(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "eval_items"), "item_id")
@@ -80,5 +93,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p6_found, p6_languages, p9_found, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p6_found, p6_languages, p7_found, p7_defects, p9_found, p10_found)}
 ORACLE: dict[str, str] = {}

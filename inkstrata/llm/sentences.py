@@ -39,7 +39,7 @@ ABBREVIATIONS = set(
     "проф ул рис стр см тов гр им акад "
     "डॉ श्री प्रो कि मी".split()
 )
-MAY_END = set("etc usw ecc enz pm am p.m a.m inc ltd co corp jr т.д т.п др г гг в вв руб тыс r.u usf".split())
+MAY_END = set("etc usw ecc enz pm am p.m a.m inc ltd co corp jr т.д т.п др г гг в вв руб тыс usf".split())
 REPORTING = set("said asked rief fragte gritó preguntó dijo gridò chiese disse riep vroeg zei gritou perguntou disse s'est сказал сказала спросил спросила cried shouted replied と".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
 
