@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, langid, leak, overlap, pairs, sentences
-from .common import table
+from . import canon, langid, leak, overlap, packing, pairs, sentences, tokens
+from .common import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,16 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return other.groupBy("split", "source").agg(F.count("*").alias("documents"), F.count("coverage").alias("overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
 
 
+def p3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, code points and tokens by source, language, domain, all three, and in all."""
+    return tokens.token_budget(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "domain"), "doc_id", "text", "source", "lang", "domain")
+
+
+def p3_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return tokens.document_tokens(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last delivery of each sample: its label's language and the segments of its text."""
     label = F.when(F.contains(F.col("domain"), F.lit("/")), F.element_at(F.split("domain", "/"), -1))
@@ -82,6 +92,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_defects(spark, sf_dir).select("id", "defect")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container, for each capacity."""
+    items = cut(tokens.document_tokens(table(spark, sf_dir, "documents"), "doc_id"))
+    specs = table(spark, sf_dir, "pack_capacities").select("spec_id", F.col("capacity_tokens").alias("capacity"))
+    return packing.pack(items, specs).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, pieces and share of the room used, for each capacity."""
+    specs = table(spark, sf_dir, "pack_capacities").select("spec_id", "capacity_tokens")
+    used = p8_containers(spark, sf_dir).groupBy("spec_id", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("pieces"))
+    per = used.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
+    return per.join(F.broadcast(specs), "spec_id").select("spec_id", "capacity_tokens", "containers", "pieces", "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a whole sentence of an evaluation item's passage."""
     found = leak.contained_items(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "eval_items"), "item_id")
@@ -93,5 +118,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p6_found, p6_languages, p7_found, p7_defects, p9_found, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p3_token_budget, p3_document_tokens, p6_found, p6_languages, p7_found, p7_defects, p8_containers, p8_fill, p9_found, p10_found)}
 ORACLE: dict[str, str] = {}
