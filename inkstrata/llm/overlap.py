@@ -37,6 +37,8 @@ SHARE = 0.85
 SEEDED = 0.06
 #: Ids of records to align that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Words of the bitmap that sifts fingerprints (8 MB at most, whatever the data).
+BITMAP_WORDS = 1 << 20
 
 
 def kgrams(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -188,6 +190,19 @@ def _tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tokens array<int>")
 
 
+def _sifted(prints: DataFrame, shared: DataFrame) -> DataFrame:
+    """Drops most rows whose fingerprint is not among ``shared`` before they are shuffled, by a bitmap of at most BITMAP_WORDS longs."""
+    words = 1 << 10
+    count = shared.count()
+    while words < BITMAP_WORDS and words * 8 < count:
+        words *= 2
+    h = F.xxhash64("fp")
+    word, bit = F.pmod(h, F.lit(words)).cast("int"), F.shiftright(h, 40).bitwiseAND(63).cast("int")
+    bits = shared.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftright(xxhash64(fp), 40) & 63 as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    kept = prints.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bits), "word")  # its size is bounded by the number of words
+    return kept.where(F.expr("(shiftright(bits, bit) & 1L) = 1L")).select("fp", "rep", "meta")
+
+
 def cross_split_pairs(df: DataFrame, id_col: str, train: str, text: str = "text", share: float = SHARE) -> DataFrame:
     """Pairs ``train_id, other_id, coverage``: records of either side whose texts share at least ``share`` of the longer one's tokens, in order.
 
@@ -196,24 +211,27 @@ def cross_split_pairs(df: DataFrame, id_col: str, train: str, text: str = "text"
     records = cut(_records(df, id_col, text, train))
     cls = ["c1", "c2"]
     members = records.select(*cls, "id", "train").distinct()
-    classes = records.groupBy(*cls).agg(F.min("id").alias("rep"), F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("o"))
-    # One record of each class. Both its uses below read one shuffle; the side flags, tokens and number of fingerprints travel as one number.
-    reps = records.select(F.col("id").alias("rep"), "n", "prints").join(classes.select("rep", "t", "o"), "rep").dropDuplicates(["rep"])
-    meta = (F.col("n").cast("long") * (1 << 32) + F.least(F.size("prints"), F.lit((1 << 29) - 1)) * 4 + F.when(F.col("t"), 2).otherwise(0) + F.when(F.col("o"), 1).otherwise(0)).alias("meta")
+    classes = members.groupBy(*cls).agg(F.min("id").alias("rep"), F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("o"), F.count("*").alias("copies"))
+    # One record of each class, without moving the fingerprints: only rows of classes with copies need to be told whether they stand for their class.
+    told = cut(members.join(classes.where("copies > 1"), cls).select("id", (F.col("id") == F.col("rep")).alias("stands"), "t", "o").groupBy("id").agg(F.bool_or("stands").alias("stands"), F.bool_or("t").alias("t"), F.bool_or("o").alias("o")))
+    if told.count() <= BROADCAST_IDS:
+        told = F.broadcast(told)
+    reps = records.select(F.col("id").alias("rep"), "n", "prints", "train").join(told.withColumnRenamed("id", "rep"), "rep", "left").where("stands is null or stands")
+    of_t, of_o = F.coalesce("t", "train"), F.coalesce("o", ~F.col("train"))
+    # Side flags, tokens and number of fingerprints travel as one number.
+    meta = (F.col("n").cast("long") * (1 << 32) + F.least(F.size("prints"), F.lit((1 << 29) - 1)) * 4 + F.when(of_t, 2).otherwise(0) + F.when(of_o, 1).otherwise(0)).alias("meta")
     prints = reps.select("rep", meta, F.explode("prints").alias("fp"))
     is_t, is_o = F.col("meta").bitwiseAND(2) > 0, F.col("meta").bitwiseAND(1) > 0
     sides = F.sum(F.when(is_t, 1 << 31).otherwise(0) + F.when(is_o, 1).otherwise(0)).alias("sides")
     nt, no = F.shiftright("sides", 31), F.col("sides").bitwiseAND((1 << 31) - 1)
-    # A class with records on both sides counts on both: alone it gives a product of one.
-    shared = prints.groupBy("fp").agg(sides, F.count("*").alias("both")).where((nt > 0) & (no > 0) & (F.col("both") > 1)).select("fp", (nt * no).alias("pairs"))
-    useful = cut(prints.join(shared, "fp"))
+    shared = cut(prints.groupBy("fp").agg(sides).where((nt > 0) & (no > 0)).select("fp", (nt * no).alias("pairs")))
+    useful = cut(_sifted(prints, shared).join(shared, "fp"))
     rank = F.row_number().over(W.partitionBy("rep").orderBy("pairs", "fp"))
     useful = useful.withColumn("rank", rank).where((F.col("pairs") <= PAIRS) | (F.col("rank") <= RAREST)).select("fp", "rep", "meta")
     a, b = useful.where(is_t).alias("a"), useful.where(is_o).alias("b")
     n, size = (lambda x: F.shiftright(f"{x}.meta", 32)), (lambda x: F.shiftright(f"{x}.meta", 2).bitwiseAND((1 << 29) - 1))
     near = (F.col("a.fp") == F.col("b.fp")) & (F.col("a.rep") != F.col("b.rep")) & (F.least(n("a"), n("b")) >= share * F.greatest(n("a"), n("b")))
     seeds = a.join(b, near).select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"), F.least(size("a"), size("b")).alias("size"), "a.fp")
-    # A pair of classes that are both on both sides meets twice; aligned once.
     pairs = cut(seeds.groupBy("x", "y").agg(F.count("fp").alias("seeds"), F.first("size").alias("size")).where(F.col("seeds") >= F.greatest(F.lit(1.0), SEEDED * F.col("size"))).select("x", "y"))
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     if wanted.count() <= BROADCAST_IDS:

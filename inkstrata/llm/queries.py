@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, langid, leak, overlap, packing, pairs, sentences, tokens
+from . import canon, langid, leak, overlap, packing, pairs, sampling, sentences, splits, tokens
 from .common import cut, table
 
 
@@ -53,6 +53,41 @@ def p3_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_tokens(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.cells(table(spark, sf_dir, "hf_samples").select("sample_id", "domain", "label", "loaded_at"), table(spark, sf_dir, "domain_categories"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target cells for which too few samples are at hand."""
+    return sampling.sample_report(_cells(spark, sf_dir), table(spark, sf_dir, "mix_targets")).where("unmet").select("category", "label")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target cell: rows needed, at hand and drawn, and the gap that is left."""
+    return sampling.sample_report(_cells(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn sample."""
+    return sampling.draw(_cells(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raid = table(spark, sf_dir, "raid_samples").select(F.col("id").alias("record_id"), F.col("source_id").alias("key"))
+    hf = table(spark, sf_dir, "hf_samples").select(F.col("sample_id").alias("record_id"), F.col("pair_id").alias("key"))
+    return splits.record_groups(raid.unionByName(hf))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that belong with at least one other, and the least record of their group."""
+    return _origins(spark, sf_dir).where("members > 1").select("record_id", "group_id")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's group and split."""
+    return splits.assign_splits(_origins(spark, sf_dir), {"train": 0.8, "validation": 0.1, "test": 0.1}).select("record_id", "group_id", "split")
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last delivery of each sample: its label's language and the segments of its text."""
     label = F.when(F.contains(F.col("domain"), F.lit("/")), F.element_at(F.split("domain", "/"), -1))
@@ -118,5 +153,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p3_token_budget, p3_document_tokens, p6_found, p6_languages, p7_found, p7_defects, p8_containers, p8_fill, p9_found, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p3_token_budget, p3_document_tokens, p4_found, p4_report, p4_sample, p5_found, p5_splits, p6_found, p6_languages, p7_found, p7_defects, p8_containers, p8_fill, p9_found, p10_found)}
 ORACLE: dict[str, str] = {}
