@@ -29,7 +29,7 @@ from .canon import mix, plain, token_hashes
 from .common import cut
 
 #: Tokens of a k-gram and k-grams of a window, for records of up to SHORT and from LONG tokens; those between have both kinds.
-SCALES = ((3, 2, 0, 56), (5, 6, 40, 1 << 60))
+SCALES = ((3, 2, 0, 56), (5, 8, 40, 1 << 60))
 #: A fingerprint shared by at most so many pairs of classes is always joined; beyond it, a class's RAREST ones.
 PAIRS, RAREST = 200, 12
 SHARE = 0.85
@@ -225,9 +225,17 @@ def cross_split_pairs(df: DataFrame, id_col: str, train: str, text: str = "text"
     sides = F.sum(F.when(is_t, 1 << 31).otherwise(0) + F.when(is_o, 1).otherwise(0)).alias("sides")
     nt, no = F.shiftright("sides", 31), F.col("sides").bitwiseAND((1 << 31) - 1)
     shared = cut(prints.groupBy("fp").agg(sides).where((nt > 0) & (no > 0)).select("fp", (nt * no).alias("pairs")))
-    useful = cut(_sifted(prints, shared).join(shared, "fp"))
+    rare, frequent = shared.where(F.col("pairs") <= PAIRS), shared.where(F.col("pairs") > PAIRS)
+    useful = cut(_sifted(prints, rare).join(rare.select("fp"), "fp").select("fp", "rep", "meta"))
+    # Records made of boilerplate: too few of their fingerprints are rare to show a match, so the least frequent of the others are joined as well.
+    size_of = F.shiftright("meta", 2).bitwiseAND((1 << 29) - 1)
+    counted = reps.select("rep", meta).join(useful.groupBy("rep").agg(F.count("*").alias("rare")), "rep", "left")
+    poor = cut(counted.where(F.coalesce("rare", F.lit(0)) < 2 * SEEDED * size_of).select("rep"))
+    if poor.count() <= BROADCAST_IDS:
+        poor = F.broadcast(poor)
     rank = F.row_number().over(W.partitionBy("rep").orderBy("pairs", "fp"))
-    useful = useful.withColumn("rank", rank).where((F.col("pairs") <= PAIRS) | (F.col("rank") <= RAREST)).select("fp", "rep", "meta")
+    more = _sifted(prints.join(poor, "rep", "left_semi"), frequent).join(frequent, "fp").withColumn("rank", rank).where(F.col("rank") <= RAREST)
+    useful = useful.unionByName(more.select("fp", "rep", "meta"))
     a, b = useful.where(is_t).alias("a"), useful.where(is_o).alias("b")
     n, size = (lambda x: F.shiftright(f"{x}.meta", 32)), (lambda x: F.shiftright(f"{x}.meta", 2).bitwiseAND((1 << 29) - 1))
     near = (F.col("a.fp") == F.col("b.fp")) & (F.col("a.rep") != F.col("b.rep")) & (F.least(n("a"), n("b")) >= share * F.greatest(n("a"), n("b")))
