@@ -244,11 +244,15 @@ def token_hashes(forms: list[str], places: bool = False) -> tuple[np.ndarray, ..
     return hashes, offsets, start - first, stop - first
 
 
+_TOKENS = re.compile(f"[^\\W_{UNSPACED}]+|[{UNSPACED}]")
+_TOKENS_MARKED = re.compile(f"(?:[^\\W_{UNSPACED}]|[{_MARKS}])+|[{UNSPACED}]")
+_HAS_MARKS = re.compile(f"[{_MARKS}]")
+
+
 def tokens(text: str) -> list[str]:
-    """Words (characters where the script has no spaces) without case, layout, punctuation and hyphenation."""
+    """Words (characters where the script has no spaces) without case, layout, punctuation and hyphenation; of one text."""
     form = plain(text)
-    _, _, start, stop = token_hashes([form], places=True)
-    return [form[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    return (_TOKENS_MARKED if _HAS_MARKS.search(form) else _TOKENS).findall(form)
 
 
 # Operator ------------------------------------------------------------------------------------------

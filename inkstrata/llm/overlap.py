@@ -7,9 +7,9 @@ decides.
 
 Copies (equal token sequences) are collapsed to a class before anything is joined, so a text that
 fills a third of the table costs one record.  Fingerprints are counted (with map-side partial
-counts) before they are joined: one that is frequent on both sides is boilerplate and joined only
-for records that have fewer than RAREST rarer ones, so every record keeps its most telling
-fingerprints and none loses all of them.
+counts) before they are joined: of those that are frequent on both sides a record leaves out only as
+many of the most frequent as cannot matter for a match (prefix filtering), so no match is lost to
+boilerplate.
 
 Null and blank texts and rows without split take no part; a text without any letter or digit has no
 tokens and takes no part; repeated ids are taken once; extra columns are ignored.
@@ -29,12 +29,12 @@ from .canon import mix, plain, token_hashes
 from .common import cut
 
 #: Tokens of a k-gram and k-grams of a window, for records of up to SHORT and from LONG tokens; those between have both kinds.
-SCALES = ((3, 2, 0, 56), (5, 8, 40, 1 << 60))
-#: A fingerprint shared by at most so many pairs of classes is always joined; beyond it, a class's RAREST ones.
-PAIRS, RAREST = 200, 12
+SCALES = ((2, 1, 7, 10), (4, 1, 0, 56), (5, 7, 40, 1 << 60))
+#: A fingerprint shared by at most so many pairs of classes is joined for all its records, one beyond for those that need it.
+PAIRS = 200
 SHARE = 0.85
-#: Least part of the smaller record's fingerprints that a candidate pair shares (one at least); a share of 0.85 leaves about a third.
-SEEDED = 0.06
+#: Part of a record's fingerprints that a match shares at least (a share of 0.85 leaves about a third), and part that must meet in the join (one at least).
+KEPT, SEEDED = 0.3, 0.06
 #: Ids of records to align that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Words of the bitmap that sifts fingerprints (8 MB at most, whatever the data).
@@ -227,14 +227,12 @@ def cross_split_pairs(df: DataFrame, id_col: str, train: str, text: str = "text"
     shared = cut(prints.groupBy("fp").agg(sides).where((nt > 0) & (no > 0)).select("fp", (nt * no).alias("pairs")))
     rare, frequent = shared.where(F.col("pairs") <= PAIRS), shared.where(F.col("pairs") > PAIRS)
     useful = cut(_sifted(prints, rare).join(rare.select("fp"), "fp").select("fp", "rep", "meta"))
-    # Records made of boilerplate: too few of their fingerprints are rare to show a match, so the least frequent of the others are joined as well.
+    # Prefix rule: of P fingerprints a match shares KEPT * P, so it shares SEEDED * P among all but the (KEPT - SEEDED) * P most frequent
+    # ones. Only those are left out, and only where they are frequent: every record keeps enough to be found.
     size_of = F.shiftright("meta", 2).bitwiseAND((1 << 29) - 1)
-    counted = reps.select("rep", meta).join(useful.groupBy("rep").agg(F.count("*").alias("rare")), "rep", "left")
-    poor = cut(counted.where(F.coalesce("rare", F.lit(0)) < 2 * SEEDED * size_of).select("rep"))
-    if poor.count() <= BROADCAST_IDS:
-        poor = F.broadcast(poor)
-    rank = F.row_number().over(W.partitionBy("rep").orderBy("pairs", "fp"))
-    more = _sifted(prints.join(poor, "rep", "left_semi"), frequent).join(frequent, "fp").withColumn("rank", rank).where(F.col("rank") <= RAREST)
+    own = W.partitionBy("rep")
+    some = _sifted(prints, frequent).join(frequent, "fp").withColumn("frequent", F.count("*").over(own)).where(F.col("frequent") > (KEPT - SEEDED) * size_of)
+    more = some.withColumn("rank", F.row_number().over(own.orderBy("pairs", "fp"))).where(F.col("rank") <= F.col("frequent") - (KEPT - SEEDED) * size_of + 1)
     useful = useful.unionByName(more.select("fp", "rep", "meta"))
     a, b = useful.where(is_t).alias("a"), useful.where(is_o).alias("b")
     n, size = (lambda x: F.shiftright(f"{x}.meta", 32)), (lambda x: F.shiftright(f"{x}.meta", 2).bitwiseAND((1 << 29) - 1))
