@@ -16,38 +16,62 @@ def transitions(mixed: np.ndarray, smooth: float, gamma: float) -> np.ndarray:
 
 
 def viterbi(unary: np.ndarray, change: np.ndarray) -> np.ndarray:
-    """Best labels; the lowest class on ties."""
+    """Best labels; the lowest class on ties.
+
+    All changes after a token cost the same, so the best predecessor of a class is the class itself
+    or the best class overall. Plain floats: the states are too few for array operations to pay.
+    """
     n, k = unary.shape
     if n == 0:
         return np.zeros(0, np.int64)
-    score, back = unary[0].copy(), np.zeros((n, k), np.int64)
+    rows, costs = unary.tolist(), change.tolist()
+    score, back = rows[0], []
     for i in range(1, n):
-        step = score[:, None] + change[i - 1] * (1 - np.eye(k))
-        back[i] = step.argmax(axis=0)
-        score = step.max(axis=0) + unary[i]
-    out = np.empty(n, np.int64)
-    out[-1] = score.argmax()
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
-    return out
+        cost, top = costs[i - 1], max(score)
+        first = score.index(top)
+        moved, new, froms = top + cost, [], []
+        for c in range(k):
+            stay = score[c]
+            # On a tie between staying and coming from the best class the lower class wins.
+            come = first != c and (moved > stay or (moved == stay and first < c))
+            froms.append(first if come else c)
+            new.append((moved if come else stay) + rows[i][c])
+        score = new
+        back.append(froms)
+    best = score.index(max(score))
+    out = [best]
+    for froms in reversed(back):
+        best = froms[best]
+        out.append(best)
+    return np.array(out[::-1], np.int64)
 
 
 def marginals(unary: np.ndarray, change: np.ndarray) -> np.ndarray:
-    """Posterior of each label at each token (forward-backward in log space)."""
+    """Posterior of each label at each token: forward-backward on scaled weights."""
     n, k = unary.shape
     if n == 0:
         return np.zeros((0, k))
-    lse = lambda x, axis: (m := x.max(axis=axis)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis=axis))
-    off = 1 - np.eye(k)
-    a, b = np.empty((n, k)), np.zeros((n, k))
-    a[0] = unary[0]
+    weight = np.exp(unary - unary.max(axis=1, keepdims=True)).tolist()
+    factor = np.exp(change).tolist()
+    ahead = [weight[0]]
     for i in range(1, n):
-        a[i] = unary[i] + lse(a[i - 1][:, None] + change[i - 1] * off, 0)
-    for i in range(n - 2, -1, -1):
-        b[i] = lse((unary[i + 1] + b[i + 1])[None, :] + change[i] * off, 1)
-    z = a + b
-    z -= lse(z, 1)[:, None]
-    return np.exp(z)
+        before, f = ahead[-1], factor[i - 1]
+        total = sum(before)
+        row = [w * (b + f * (total - b)) for w, b in zip(weight[i], before, strict=True)]
+        scale = sum(row) or 1.0
+        ahead.append([x / scale for x in row])
+    behind, out = [1.0] * k, [None] * n
+    for i in range(n - 1, -1, -1):
+        row = [a * b for a, b in zip(ahead[i], behind, strict=True)]
+        scale = sum(row) or 1.0
+        out[i] = [x / scale for x in row]
+        if i:
+            own = [w * b for w, b in zip(weight[i], behind, strict=True)]
+            f, total = factor[i - 1], sum(own)
+            behind = [x + f * (total - x) for x in own]
+            scale = sum(behind) or 1.0
+            behind = [x / scale for x in behind]
+    return np.array(out)
 
 
 def label_runs(labels: np.ndarray) -> list[tuple[int, int, int]]:

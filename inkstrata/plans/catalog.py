@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -547,3 +548,160 @@ def top_words_by_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear warm-up and cosine decay."""
     return spark.range(0, 1001, 50).select(F.col("id").cast("int").alias("step"), F.round(L.learning_rate(F.col("id"), 2e-4, 100, 1000), 12).alias("rate"))
+
+
+# Sequential operators: no SQL, tested against brute force and invariants --------------------------------
+@query(f"SELECT doc_id, pos::INT AS pos, round(least(0,-4+0.5::DOUBLE*({u('mix', 'doc_id', 'pos')}*20-10)),9) AS penalty FROM {TOKENS}")
+def potts_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Penalty of a label change after each token, from surrogate mixed log odds."""
+    tokens = N.word_tokens(table(spark, sf_dir, "documents"), "doc_id")
+    return tokens.select("doc_id", "pos", F.round(N.potts(X.uniform(0, "mix", F.col("doc_id"), F.col("pos")) * 20 - 10), 9).alias("penalty"))
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.decode import decode
+
+    rows = _guessed(spark, sf_dir)
+    hit = lambda c: F.when(F.col("predicted") == c, 2.0).otherwise(0.0)
+    return decode(rows.select("doc_id", "pos", hit(0).alias("u0"), hit(1).alias("u1"), hit(2).alias("u2"), F.lit(0.0).alias("mixed_logodds")), "doc_id", least=8)
+
+
+@query()
+def crf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain-decoded labels, short runs merged, with confidence."""
+    return _decoded(spark, sf_dir)
+
+
+@query()
+def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the decoded labels that cover each text, and the verdict of the document."""
+    from pyspark.sql import Window as W
+
+    tokens = N.word_tokens(table(spark, sf_dir, "documents"), "doc_id").join(_decoded(spark, sf_dir), ["doc_id", "pos"])
+    own = W.partitionBy("doc_id").orderBy("pos")
+    marked = tokens.withColumn("c", F.coalesce((F.lag("merged").over(own) != F.col("merged")).cast("int"), F.lit(0))).withColumn("run", F.sum("c").over(own))
+    runs = marked.groupBy("doc_id", "run").agg(F.max("token_end").alias("end"), F.first("merged").alias("label"), F.avg("confidence").alias("confidence"))
+    order = W.partitionBy("doc_id").orderBy("run")
+    size = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    last = F.lead("run").over(order).isNull()
+    seg = runs.join(size, "doc_id").withColumn("seg_start", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("seg_end", F.when(last, F.col("n_chars")).otherwise(F.col("end")))
+    return seg.select("doc_id", "run", "seg_start", "seg_end", "label", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def transform_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evasions and artifacts by draws of the document, spans carried along."""
+    from ..operators.rewrite import transform_documents
+
+    out = transform_documents(table(spark, sf_dir, "documents"), "doc_id")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), L.span_partition_ok(F.col("spans"), F.length("text")).alias("partition_ok"), F.array_join("applied", ",").alias("applied"))
+
+
+@query()
+def splice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Human and AI texts of one source mixed into one."""
+    from ..operators.rewrite import spliced_documents
+
+    pairs = source_equi_pair(spark, sf_dir)
+    text = table(spark, sf_dir, "raid_samples").groupBy("id").agg(F.max_by("generation", "loaded_at").alias("t"))
+    both = pairs.join(text.select(F.col("id").alias("human_id"), F.col("t").alias("human")), "human_id").join(text.select(F.col("id").alias("ai_id"), F.col("t").alias("ai")), "ai_id")
+    out = spliced_documents(both, "source_id", "human", "ai")
+    return out.select("source_id", "pattern", F.length("text").alias("chars"), F.size("spans").alias("pieces"), L.span_partition_ok(F.col("spans"), F.length("text")).alias("partition_ok"))
+
+
+@query()
+def layout_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical layout, unwrapped and reflowed texts, as hashes."""
+    from ..operators.rewrite import normalize_layout, text_function, unwrap
+
+    t = F.col("text")
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text_function(normalize_layout)(t).alias("canonical"), text_function(unwrap)(t).alias("unwrapped"), X.reflow(t).alias("reflowed"))
+    return rows.select("doc_id", *[F.md5(c).alias(c) for c in ("canonical", "unwrapped", "reflowed")])
+
+
+@query()
+def soft_ngram_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited texts labelled clause by clause against their source."""
+    from ..operators.similarity import edit_spans
+
+    out = edit_spans(_edits(spark, sf_dir), "id", "source", "target")
+    return out.select("id", F.size("spans").alias("spans"), F.round("f_ai", 6).alias("f_ai"))
+
+
+@query()
+def verbatim_run_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest run of words taken over from the source, and whether the text passes as a rewrite."""
+    from ..operators.similarity import verbatim_share
+
+    @F.pandas_udf("double")
+    def share(s: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([verbatim_share(a, b) for a, b in zip(s, t, strict=True)], dtype="float64")
+
+    rows = _edits(spark, sf_dir).where("source is not null and target is not null").select("id", share("source", "target").alias("share"), F.length(X.strip(F.col("target"))).alias("chars"))
+    return rows.select("id", F.round("share", 6).alias("share"), ((F.col("chars") >= 400) & (F.col("share") <= 0.25)).alias("accepted"))
+
+
+@query()
+def sentence_and_clause_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of sentences (by expression) and of clauses (by scan) of each document."""
+    from ..operators.rewrite import clauses
+
+    @F.pandas_udf("int")
+    def count(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: len(clauses(t))).astype("int32")
+
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", F.size(X.sentence_pieces(F.col("text"))).alias("sentences"), count("text").alias("clauses"))
+
+
+@query()
+def augment_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrapped, flattened and cropped copies of disjoint pools of pure documents, by rank of a draw in each class."""
+    from pyspark.sql import Window as W
+
+    from ..operators.rewrite import Draws, crop, wrap
+
+    @F.pandas_udf("string")
+    def wrapped(i: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([wrap(x, 70 + Draws(0, "wrap", k).below(51)) for k, x in zip(i, t, strict=True)])
+
+    @F.pandas_udf("string")
+    def cropped(i: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([crop(x, 0, k) for k, x in zip(i, t, strict=True)])
+
+    pure = table(spark, sf_dir, "documents").where("text is not null").withColumn("label", L.pure_label(F.col("spans"))).where("label is not null").select("doc_id", "text", "label")
+    ranked = pure.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(X.uniform(0, "augment", F.col("doc_id")), "doc_id")))
+    kind = F.when(F.col("rank") <= 40, "wrapped").when(F.col("rank") <= 80, "flat").when(F.col("rank") <= 120, "crop")
+    pool = ranked.withColumn("kind", kind).where("kind is not null")
+    text = F.when(F.col("kind") == "wrapped", wrapped("doc_id", "text")).when(F.col("kind") == "flat", X.flatten_lines(F.col("text"))).otherwise(cropped("doc_id", "text"))
+    return pool.withColumn("made", text).where("made is not null").select("doc_id", "label", "kind", F.length("made").alias("chars"))
+
+
+@query()
+def occlusion_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effect of each sentence on the baseline scorer's value, scaled in its document."""
+    from ..operators.scorer import scaled, sentence_occlusion
+
+    effects = sentence_occlusion(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return scaled(effects, "effect", "doc_id").select("doc_id", "k", "part_start", "part_end", F.round("effect", 6).alias("effect"), F.round("scaled", 6).alias("scaled"))
+
+
+@query()
+def recipe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Human texts of the corpus through a recipe: length band, domain headed by the recipe's key."""
+    from ..sources.recipes import accepted
+
+    return accepted(table(spark, sf_dir, "documents").where("humanizer = 0"), "fineweb_edu").groupBy("label", "generator", "domain").agg(F.count("*").alias("samples"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def calibration_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multinomial calibration of surrogate features on the calibration split."""
+    from ..operators.calibrate import fit_multinomial
+
+    docs = table(spark, sf_dir, "documents").where("lower(trim(split)) = 'calibration'").select("doc_id")
+    rows = _guessed(spark, sf_dir).join(docs, "doc_id")
+    draw = lambda k: X.uniform(0, f"feature{k}", F.col("doc_id"), F.col("pos"))
+    feats = rows.select("label", *[(draw(c) + F.when(F.col("predicted") == c, 2.0).otherwise(0.0)).alias(f"f{c}") for c in range(3)], *[draw(k).alias(f"f{k}") for k in range(3, 6)])
+    cal = fit_multinomial(feats)
+    return spark.createDataFrame([(c, round(cal.intercepts[c], 4), [round(x, 4) for x in cal.weights[c]]) for c in range(3)], "label int, intercept double, weights array<double>")
