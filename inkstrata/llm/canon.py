@@ -121,9 +121,11 @@ class Transducer:
         if (text.isascii() and "\r" not in text and "\t" not in text) or self.touched.search(text) is None:
             return text
         if self.mark.search(text) is None:
-            return text.translate(self.table)
-        cluster = self.cluster
-        return self.scan.sub(lambda m: cluster(m[0]), text)
+            form = text.translate(self.table)
+        else:
+            cluster = self.cluster
+            form = self.scan.sub(lambda m: cluster(m[0]), text)
+        return unicodedata.normalize("NFC", form)  # a mark that was a sign of its own (half-width voicing) joins its base
 
     def native(self, text: str) -> str:
         form = self.apply(text)
