@@ -20,7 +20,7 @@ DOCUMENT_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructFie
 
 def read_raid_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns text, multi-line fields, an empty field is an empty text."""
-    return spark.read.schema(RAID_SCHEMA).options(header=True, multiLine=True, escape='"', emptyValue="", nullValue="\0").csv(path)
+    return spark.read.schema(RAID_SCHEMA).options(header=True, multiLine=True, escape='"').csv(path).na.fill("")
 
 
 def read_json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, strict: bool = False) -> DataFrame:
@@ -29,7 +29,9 @@ def read_json_lines(spark: SparkSession, paths: str | list[str], schema: T.Struc
         return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     whole = T.StructType([*struct.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(whole).option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
+    # Lines are parsed by expression: columns are pruned in the parser, and a query may look at the torn lines alone.
+    parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(paths).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
 
 
 def sound_lines(rows: DataFrame) -> DataFrame:
