@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +21,18 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkstrata-"))
     return df.checkpoint()
+
+
+#: Code points that are worked on at once: bounds a worker's memory whatever the batch and the texts' lengths.
+CHARS = 1 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each piece holds about CHARS code points of a text column (a longer text alone)."""
+    for b in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(b.column(column)), 0)))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, "right")))
+            yield b.slice(at, end - at)
+            at = end

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .canon import mix, plain, token_hashes
-from .common import cut
+from .common import cut, pieces
 
 #: Tokens of a k-gram and k-grams of a window, for records of up to SHORT and from LONG tokens; those between have both kinds.
 SCALES = ((2, 1, 7, 10), (4, 1, 0, 56), (5, 7, 40, 1 << 60))
@@ -168,7 +168,7 @@ def _records(df: DataFrame, id_col: str, text: str, side: str) -> DataFrame:
     """``id, train, meta, c1, c2, prints``; meta is the number of tokens, c1 and c2 are the class key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2):
             counts, keys, prints = fingerprints([plain(t) for t in b.column(2).to_pylist()])
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(prints, pa.list_(pa.int64()))], ["id", "train", "n", "c1", "c2", "prints"])
@@ -180,7 +180,7 @@ def _records(df: DataFrame, id_col: str, text: str, side: str) -> DataFrame:
 
 def _tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             hashes, offsets = token_hashes([plain(t) for t in b.column(1).to_pylist()])
             short = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short))
