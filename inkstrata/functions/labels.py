@@ -49,11 +49,13 @@ def bucket_of(f: Column) -> Column:
 
 def bucket_target(f: Column, sharpness: float = 1.0) -> Column:
     """Mass on the two buckets around f."""
-    pos = clamp(f) * (BUCKETS - 1)
-    low = F.floor(pos)
-    hi, frac = F.least(low + 1, F.lit(BUCKETS - 1)), pos - low
-    a, b = F.pow(1.0 - frac, F.lit(sharpness)), F.pow(frac, F.lit(sharpness))
-    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.when(low == hi, F.when(k == low, 1.0).otherwise(0.0)).otherwise(F.when(k == low, a / (a + b)).when(k == hi, b / (a + b)).otherwise(0.0)))
+    def spread(pos: Column) -> Column:
+        low = F.floor(pos)
+        hi, frac = F.least(low + 1, F.lit(BUCKETS - 1)), pos - low
+        a, b = F.pow(1.0 - frac, F.lit(sharpness)), F.pow(frac, F.lit(sharpness))
+        return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.when(low == hi, F.when(k == low, 1.0).otherwise(0.0)).otherwise(F.when(k == low, a / (a + b)).when(k == hi, b / (a + b)).otherwise(0.0)))
+
+    return F.transform(F.array(clamp(f) * (BUCKETS - 1)), spread)[0]
 
 
 def triangular_basis(f: Column) -> tuple[Column, Column, Column]:

@@ -86,27 +86,37 @@ def flatten_lines(text: Column) -> Column:
     return F.translate(text, "\n", " ")
 
 
+def bind(value: Column, f) -> Column:  # noqa: ANN001
+    """f(value) with the value computed once: what a lambda refers to from outside is computed anew for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Set of character n-grams of the lower-cased, collapsed text; a shorter text is its own only element, an empty one has none."""
-    t = F.lower(collapse(text))
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
-    return F.when(F.length(t) >= n, many).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
+    none = F.array().cast("array<string>")
+    return bind(F.lower(collapse(text)), lambda t: F.when(F.length(t) >= n, grams(t)).when(F.length(t) > 0, F.array(t)).when(t.isNotNull(), none))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """0 where either set is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    ratio = lambda s: F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"])))
+    return bind(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def hard_wrapped(text: Column) -> Column:
     """Most lines stop near a common width without ending a sentence."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, f"^{ASCII_WS}|{ASCII_WS}$", "")), lambda x: x != "")
-    lengths = F.array_sort(F.transform(lines, F.length))
-    n = F.size(lines)
-    width = F.try_element_at(lengths, (F.floor(F.lit(0.9) * (n - 1)) + 1).cast("int"))
-    inner = F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    wrapped = F.size(F.filter(inner, lambda x: (F.length(x) >= F.lit(0.75) * width) & ~x.rlike("[.!?…:;»\"”)]$")))
-    return (n >= 4) & (width >= 40) & (wrapped / F.greatest(n - 1, F.lit(1)) >= 0.4)
+
+    def verdict(s: Column) -> Column:
+        n, width = F.size(s["lines"]), s["width"]
+        inner = F.slice(s["lines"], F.lit(1), F.greatest(n - 1, F.lit(0)))
+        wrapped = F.size(F.filter(inner, lambda x: (F.length(x) >= F.lit(0.75) * width) & ~x.rlike("[.!?…:;»\"”)]$")))
+        return (n >= 4) & (width >= 40) & (wrapped / F.greatest(n - 1, F.lit(1)) >= 0.4)
+
+    at = lambda x: (F.floor(F.lit(0.9) * (F.size(x) - 1)) + 1).cast("int")
+    sized = bind(lines, lambda x: F.struct(x.alias("lines"), F.when(F.size(x) > 0, F.try_element_at(F.array_sort(F.transform(x, F.length)), at(x))).alias("width")))
+    return bind(sized, verdict)
 
 
 def reflow(text: Column) -> Column:
