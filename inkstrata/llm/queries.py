@@ -154,4 +154,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p3_token_budget, p3_document_tokens, p4_found, p4_report, p4_sample, p5_found, p5_splits, p6_found, p6_languages, p7_found, p7_defects, p8_containers, p8_fill, p9_found, p10_found)}
-ORACLE: dict[str, str] = {}
+# SQL for the queries that SQL can say -----------------------------------------------------------------
+_TOPIC = lambda c: rf"regexp_replace(lower(trim({c})),'[\s_\-./]+','','g')"
+_LABEL = r"nullif(lower(regexp_replace(label,'^\s+|\s+$','','g')),'')"
+_P4 = f"""WITH s AS (SELECT DISTINCT ON (sample_id) sample_id, {_TOPIC("split_part(domain,'/',1)")} AS topic, {_LABEL} AS l FROM hf_samples WHERE sample_id IS NOT NULL ORDER BY sample_id, loaded_at DESC),
+k AS (SELECT DISTINCT {_TOPIC('domain_key')} AS topic, category FROM domain_categories), c AS (SELECT category, l, count(*) AS n FROM s JOIN k USING (topic) WHERE l IS NOT NULL GROUP BY ALL)
+SELECT t.category, t.label FROM mix_targets t LEFT JOIN c ON c.category=t.category AND c.l=lower(trim(t.label)) WHERE coalesce(n,0)<greatest(min_rows, target_share*sample_rows)"""
+_KEY = lambda c: f"CASE WHEN regexp_replace(regexp_replace(lower(translate({c},'{splits._WIDE}','{splits._PLAIN}')),'[^0-9]','','g'),'^0+','')<>'' THEN regexp_replace(lower(translate({c},'{splits._WIDE}','{splits._PLAIN}')),'[^\\p{{L}}]','','g')||':'||regexp_replace(regexp_replace(lower(translate({c},'{splits._WIDE}','{splits._PLAIN}')),'[^0-9]','','g'),'^0+','') END"
+_P5 = f"""WITH RECURSIVE r AS (SELECT DISTINCT id AS record_id, source_id AS key FROM raid_samples UNION SELECT DISTINCT sample_id, pair_id FROM hf_samples),
+n AS (SELECT DISTINCT record_id, coalesce({_KEY('record_id')},'id='||record_id) AS node, {_KEY('key')} AS key FROM r WHERE record_id IS NOT NULL),
+e AS (SELECT node AS a, key AS b FROM n WHERE key IS NOT NULL AND key<>node UNION SELECT key, node FROM n WHERE key IS NOT NULL AND key<>node),
+reach(node, root) AS (SELECT node, node FROM n UNION SELECT e.b, reach.root FROM reach JOIN e ON reach.node=e.a),
+comp AS (SELECT node, min(root) AS c FROM reach GROUP BY 1), m AS (SELECT DISTINCT record_id, c FROM n JOIN comp USING (node)),
+g AS (SELECT c, min(record_id) AS group_id, count(*) AS members FROM m GROUP BY 1)
+SELECT record_id, group_id FROM m JOIN g USING (c) WHERE members>1"""
+ORACLE: dict[str, str] = {"p4_found": _P4, "p5_found": _P5}
