@@ -43,6 +43,14 @@ MAY_END = set("etc usw ecc enz pm am p.m a.m inc ltd co corp jr т.д т.п др
 REPORTING = set("said asked rief fragte gritó preguntó dijo gridò chiese disse riep vroeg zei gritou perguntou disse s'est сказал сказала спросил спросила cried shouted replied と".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
 
+# Words that something of the same sentence follows.
+LEADING = set(
+    "of to the a an in on at by for with from and or but that which near outside "
+    "de la le les du des à au aux en un une et ou que el los las del al y con por para il lo gli di da nel e che per do dos das no na em um uma com "
+    "der die den dem das ein eine einen im am auf von zu und oder bei vor nach het een van op te met voor bij "
+    "в на с к у из от до по за и для о об के का की में से ने को من في على إلى عن".split()
+)
+
 STOPS = ".!?。！？｡।॥؟۔…‥．"
 QUOTES = '"“”„«»「」『』'
 _HIDDEN = "­​‌‍⁠﻿"
@@ -59,6 +67,7 @@ _DAY = re.compile(r"\d{1,2}\.\s+([^\W\d_]+)")
 _CJK = re.compile(f"[{UNSPACED}]")
 
 
+_ODD_CASE = re.compile(r"(?:^|\n\n)[a-zà-ÿа-я]{2,}[^\n.)]*\.|(?:[A-ZÀ-Þ]{2,} ){4}|(?:[А-Я]{2,} ){3}")
 _ITEM = re.compile(r"[^\S\n]*(?:\d{1,3}|[A-Za-z])$")
 _BULLETS = "-*•–·‣▪"
 
@@ -115,7 +124,7 @@ class BoundaryModel:
         return cuts + _decide(block)
 
     def _gaps(self, text: str, seen: list | None = None) -> Iterator[tuple[str, float, int, int]]:
-        n, closing, until, pos, last_place = len(text), "", -1, 0, 0
+        n, closing, until, pos, last_place, last_cut = len(text), "", -1, 0, 0, 0
         all_caps, widths, begun = text.isupper(), None, False
         find = _EVENT.search
         while m := find(text, pos):
@@ -162,10 +171,11 @@ class BoundaryModel:
                     break
                 gap = text[j:k]
                 if "\n" in gap:
+                    pos = k  # the line break is part of this gap
                     breaks = gap.count("\n")
                     if breaks > 1 or _MARKER.match(text, k) and not self._ordinal(text, k):
                         yield "sure", 9.0, j, 0
-                        last_place = j
+                        last_place = last_cut = j
                         continue
                 score = self._score(text, a, stop, j, k, quoted, closed, all_caps, seen)
                 if score is None:
@@ -173,7 +183,7 @@ class BoundaryModel:
                 if "\n" in gap:
                     score += 0.5
                 words = text.count(" ", last_place, a) if not _CJK.match(text, a - 1) else a - last_place
-                last_place = j
+                last_place, last_cut = j, j if score > 0 else last_cut
                 yield "gap", score, j, words
                 continue
             # A line break after no stop: a and b where the blanks around it begin and end.
@@ -185,7 +195,7 @@ class BoundaryModel:
             if text.count("\n", a, b) > 1:
                 until = -1
                 yield "sure", 9.0, a, 0
-                last_place = a
+                last_place = last_cut = a
                 continue
             if widths is None:
                 widths = max(map(len, text.split("\n")))
@@ -196,11 +206,15 @@ class BoundaryModel:
                 continue
             if _MARKER.match(text, b) and (room >= 0 or text[b] in _BULLETS or _MARKER.match(text, a - line)):
                 yield "sure", 9.0, a, 0
-                last_place = a
+                last_place = last_cut = a
                 continue
             if a < until:
                 continue
-            if room < 0 or (_shape(text[b]) == "lower" and not _MARKER.match(text, b)) or text[a - 1] in ",;—–(，、،":
+            # What stands on its own line begins there; a sentence that began before goes on.
+            began = _BLANKS.match(text, last_cut).end()
+            if began != _BLANKS.match(text, a - line).end() and not _MARKER.match(text, began):
+                continue
+            if room < 0 or text[max(0, a - 12) : a].rpartition(" ")[2].lower() in LEADING or (_shape(text[b]) == "lower" and not _MARKER.match(text, b)) or text[a - 1] in ",;—–(，、،":
                 continue
             yield "sure", 9.0, a, 0
             last_place = a
@@ -250,6 +264,8 @@ class BoundaryModel:
             word = right
         if all_caps and shape == "upper":
             shape = "letter"
+        if shape == "lower" and cls in ("word", "short", "ask") and not bare and (text.islower() or (_ODD_CASE.search(text) and not any(map(str.isupper, text[k : k + 50])))):
+            shape = "letter"  # a text, or a part of it, in one case: nothing follows from the small letter
         if bare and cls in ("ask",) and shape in ("lower", "digit", "other"):
             return None
         if seen is not None:
@@ -286,7 +302,7 @@ def _dot(raw: str, prev: str, all_caps: bool) -> tuple[str, str, str, str]:
     if prev and len(core) <= 2:
         joined = _folded(prev).lstrip(_OPENERS) + core
         left = "." + joined if len(joined) <= 6 else left
-    if joined in MAY_END or core in MAY_END:
+    if (joined in MAY_END or core in MAY_END) and not (prev and joined != core and len(raw) == 1 and raw.isupper() and not all_caps):
         cls = "mayend"
     elif core in ABBREVIATIONS or letters in ABBREVIATIONS and "." in core:
         cls = "abbr"

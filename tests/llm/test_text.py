@@ -178,3 +178,8 @@ def test_budget(spark):
     by = {(r.level, r.source, r.lang, r.domain): (r.documents, r.tokens) for r in rows}
     assert by["source", "news", None, None] == (2, 3 + counts[2]) and by["all", None, None, None] == (4, sum(counts.values()))
     assert by["language", None, "en", None] == (2, 3 + counts[2]) and by["source", "unknown", None, None] == (2, 0)
+
+
+def test_wrapped_lines_and_case():
+    assert units("He met Dr.\nPello on the road to\nMiktor. Then he left and went home again, P. M. Lusor said nothing.") == ["He met Dr.\nPello on the road to\nMiktor.", "Then he left and went home again, P. M. Lusor said nothing."]
+    assert units("the old mill burned. nobody saw the fire, i.e. the smoke.") == ["the old mill burned.", "nobody saw the fire, i.e. the smoke."]
