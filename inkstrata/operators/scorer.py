@@ -19,16 +19,22 @@ Scorer = Callable[[list[str]], list[float]]
 
 
 @lru_cache(100_000)
-def _weight(word: str) -> float:
-    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) / 4294967296
+def _weight(word: str) -> int:
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
 
 
 def baseline_scorer(texts: list[str]) -> list[float]:
     """Mean hash weight of the words: a deterministic stand-in for a model, without any meaning."""
-    out = []
+    out, seen = [], {}
     for t in texts:
-        words = re.findall(r"\w+", t.lower())
-        out.append(sum(map(_weight, words)) / len(words) if words else 0.5)
+        total = count = 0
+        for piece in t.replace("\n", ". ").replace("。", ". ").split(". "):  # no word crosses these; texts that share pieces read them once
+            if (known := seen.get(piece)) is None:
+                words = re.findall(r"\w+", piece.lower())
+                known = seen[piece] = sum(map(_weight, words)), len(words)
+            total += known[0]
+            count += known[1]
+        out.append(total / 4294967296 / count if count else 0.5)
     return out
 
 
@@ -55,33 +61,53 @@ def observe_windows(windows: DataFrame, text: str, scorer: Scorer = baseline_sco
     return scored.withColumns({"segment_probs": bucket_target(F.col("_s")), "token_logits": F.array_repeat(F.array(-odds, F.lit(0.0), odds), F.col("hi") - F.col("lo")), "mixed_prob": 1 - 2 * F.abs(F.col("_s") - 0.5)}).drop("_s")
 
 
-def _variants(df: DataFrame, ident: str, text: str, cut: Callable[[str], list[tuple[int, int]]], most: int, least: int) -> DataFrame:
+#: Code points of the variants that are made and scored at once: bounds a worker's memory whatever a text's length.
+CHARS = 1 << 22
+#: Tasks that may share the parts of one document at most.
+TASKS = 16
+
+
+def _occlusion(df: DataFrame, ident: str, text: str, scorer: Scorer, cut: Callable[[str], list[tuple[int, int]]], most: int | None, least: int) -> DataFrame:
+    """A part's effect is the fall of the score without it. Every part has its row; those of a long document are spread over tasks by (id, k)."""
     kind = df.schema[ident].dataType.simpleString()
+    columns = [ident, "k", "part_start", "part_end", "effect"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows, chars = [], 0
             for i, t in zip(b[ident], b[text], strict=True):
-                parts = cut(t)
-                if len(parts) < least:
+                n = len(cut(t))
+                if n < least:
                     continue
-                rows = [(i, -1, 0, 0, t)] + [(i, k, a, e, t[:a] + t[e:]) for k, (a, e) in enumerate(parts[:most])]
-                yield pd.DataFrame(rows, columns=[ident, "k", "part_start", "part_end", "variant"])
-
-    return df.where(F.col(text).isNotNull()).select(ident, text).mapInPandas(run, f"{ident} {kind}, k int, part_start int, part_end int, variant string")
-
+                n = n if most is None else min(n, most)
+                step = max(1, CHARS // max(1, len(t)), -(-n // TASKS))
+                for lo in range(0, n, step):
+                    rows.append((i, t, lo, min(n, lo + step)))
+                    chars += len(t)
+                    if chars > CHARS:
+                        yield pd.DataFrame(rows, columns=[ident, text, "lo", "hi"])
+                        rows, chars = [], 0
+            yield pd.DataFrame(rows, columns=[ident, text, "lo", "hi"])
+
+    def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, t, lo, hi in zip(b[ident], b[text], b["lo"], b["hi"], strict=True):
+                base, parts, step = scorer([t])[0], cut(t), max(1, CHARS // max(1, len(t)))
+                for at in range(lo, hi, step):
+                    end = min(hi, at + step)
+                    scores = scorer([t[:a] + t[e:] for a, e in parts[at:end]])
+                    yield pd.DataFrame([(i, k, *parts[k], base - s) for k, s in zip(range(at, end), scores, strict=True)], columns=columns)
 
-def _occlusion(df: DataFrame, ident: str, text: str, scorer: Scorer, cut: Callable[[str], list[tuple[int, int]]], most: int, least: int) -> DataFrame:
-    """The whole and its variants are scored in one pass; a part's effect is the fall of the score without it."""
-    scored = score(_variants(df, ident, text, cut, most, least), "variant", scorer)
-    base = F.max(F.when(F.col("k") == -1, F.col("score"))).over(W.partitionBy(ident))
-    return scored.withColumn("effect", base - F.col("score")).where("k >= 0").select(ident, "k", "part_start", "part_end", "effect")
+    rows = df.where(F.col(text).isNotNull()).select(ident, text).mapInPandas(spread, f"{ident} {kind}, {text} string, lo int, hi int")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, ident, "lo").mapInPandas(effects, f"{ident} {kind}, k int, part_start int, part_end int, effect double")
 
 
-def word_occlusion(df: DataFrame, ident: str, text: str, scorer: Scorer = baseline_scorer, most: int = 400) -> DataFrame:
+def word_occlusion(df: DataFrame, ident: str, text: str, scorer: Scorer = baseline_scorer, most: int | None = None) -> DataFrame:
     return _occlusion(df, ident, text, scorer, lambda t: [m.span() for m in re.finditer(r"\S+", t)], most, 1)
 
 
-def sentence_occlusion(df: DataFrame, ident: str, text: str, scorer: Scorer = baseline_scorer, most: int = 80) -> DataFrame:
+def sentence_occlusion(df: DataFrame, ident: str, text: str, scorer: Scorer = baseline_scorer, most: int | None = None) -> DataFrame:
     return _occlusion(df, ident, text, scorer, sentences, most, 2)
 
 

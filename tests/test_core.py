@@ -301,6 +301,21 @@ def test_scorer(spark):
     assert [r.id for r in out] == [1, 1] and out[0].effect == pytest.approx(base - left)
 
 
+def test_occlusion_covers_every_part(spark):
+    from inkstrata.operators import scorer as Z
+
+    long = " ".join(f"Sentence w{i} has its own words." for i in range(450))
+    df = spark.createDataFrame([(1, long), (2, "One two. Three four.")], "id int, text string")
+    out = Z.sentence_occlusion(df, "id", "text").where("id = 1").orderBy("k").collect()
+    parts = R.sentences(long)
+    assert [(r.k, r.part_start, r.part_end) for r in out] == [(k, *p) for k, p in enumerate(parts)] and len(out) == 450
+    a, e = parts[-1]
+    base, left = Z.baseline_scorer([long, long[:a] + long[e:]])
+    assert out[-1].effect == pytest.approx(base - left)
+    assert Z.word_occlusion(df, "id", "text").where("id = 1").count() == len(long.split())
+    assert Z.sentence_occlusion(df, "id", "text", most=3).count() == 5
+
+
 def test_nearest_by_cosine(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(60, 8))
