@@ -656,9 +656,7 @@ def sentence_and_clause_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def augment_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrapped, flattened and cropped copies of disjoint pools of pure documents, by rank of a draw in each class."""
-    from pyspark.sql import Window as W
-
+    """Wrapped, flattened and cropped copies of all pure human and AI documents: 2, 2 and 3 of 7 parts of each class by a draw, noisy human sources left out."""
     from ..operators.rewrite import Draws, crop, wrap
 
     @F.pandas_udf("string")
@@ -669,10 +667,12 @@ def augment_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     def cropped(i: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([crop(x, 0, k) for k, x in zip(i, t, strict=True)])
 
-    pure = table(spark, sf_dir, "documents").where("text is not null").withColumn("label", L.pure_label(F.col("spans"))).where("label is not null").select("doc_id", "text", "label")
-    ranked = pure.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(X.uniform(0, "augment", F.col("doc_id")), "doc_id")))
-    kind = F.when(F.col("rank") <= 40, "wrapped").when(F.col("rank") <= 80, "flat").when(F.col("rank") <= 120, "crop")
-    pool = ranked.withColumn("kind", kind).where("kind is not null")
+    rows = table(spark, sf_dir, "documents").where("text is not null").withColumn("label", L.pure_label(F.col("spans")))
+    noisy = F.coalesce(F.col("domain").rlike("^(french_instruct|aya/)"), F.lit(False)) & (F.col("label") == 0)
+    # The reference's 20,000, 20,000 and 30,000 a class as shares of the class, so that the pools grow with the table.
+    turn = 7 * X.uniform(0, "augment", F.col("doc_id"))
+    kind = F.when(turn < 2, "wrapped").when(turn < 4, "flat").otherwise("crop")
+    pool = rows.where(F.col("label").isin(0, 2) & ~noisy).select("doc_id", "text", "label", kind.alias("kind"))
     text = F.when(F.col("kind") == "wrapped", wrapped("doc_id", "text")).when(F.col("kind") == "flat", X.flatten_lines(F.col("text"))).otherwise(cropped("doc_id", "text"))
     return pool.withColumn("made", text).where("made is not null").select("doc_id", "label", "kind", F.length("made").alias("chars"))
 

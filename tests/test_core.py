@@ -316,6 +316,19 @@ def test_occlusion_covers_every_part(spark):
     assert Z.sentence_occlusion(df, "id", "text", most=3).count() == 5
 
 
+def test_augment_pools_takes_whole_classes(spark, tmp_path):
+    from inkstrata.plans import catalog as C
+
+    words = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, words, "aya/x" if i < 40 else "web", [(0, len(words), 2 * (i % 2))]) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string, domain string, spans array<struct<span_start int, span_end int, label int>>").write.parquet(f"{tmp_path}/documents.parquet")
+    out = C.augment_pools(spark, str(tmp_path)).collect()
+    kept = {i for i in range(800) if i >= 40 or i % 2}  # noisy human ones are left out
+    assert len(out) == len(kept) and {r.doc_id for r in out} == kept
+    share = {k: sum(r.kind == k for r in out) / len(out) for k in ("wrapped", "flat", "crop")}
+    assert share == pytest.approx({"wrapped": 2 / 7, "flat": 2 / 7, "crop": 3 / 7}, abs=0.06)
+
+
 def test_nearest_by_cosine(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(60, 8))
