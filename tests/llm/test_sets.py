@@ -92,6 +92,27 @@ def test_leaks(spark):
     assert leak.contained_items(d, "doc_id", t.limit(0), "item_id").count() == 0
 
 
+def test_leak_candidates_whatever_the_size(spark):
+    low = 1
+    for most, rows in leak.PARTITIONS:
+        assert most > low and all(leak.recall(most, rows, n) >= leak.RECALL for n in range(3, 400))
+        low = most
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    items = [(i, sentence(14)) for i in range(300)]
+    reworked = {}
+    for i, t in items:  # 2 words of 14 changed: 5 to 6 of 12 shingles stay
+        w = t.split()
+        w[4], w[9] = word(), word()
+        reworked[i] = " ".join(w)
+    # One long document quotes all items, so its set is far beyond the last partition.
+    docs = [(1, " ".join(reworked.values())), (2, reworked[7]), (3, " ".join(sentence(14) for _ in range(300)))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = leak.contained_items(d, "doc_id", spark.createDataFrame(items, "item_id long, text string"), "item_id").collect()
+    assert {(r.doc, r.item) for r in found} == {(1, i) for i, _ in items} | {(2, 7)}
+
+
 def test_quotas():
     share, least = np.array([0.4, 0.3, 0.2, 0.1]), np.array([0, 0, 0, 30])
     have = np.array([1000, 10, 1000, 20])
