@@ -30,7 +30,7 @@ def strip(text: Column) -> Column:
 
 
 def content_key(text: Column, ws: str = ASCII_WS) -> Column:
-    """Fingerprint of the first 600 normalised characters: equal for texts that differ in case and white space only."""
+    """Fingerprint of the first 600 normalised characters, the reference's key: equal for texts that differ in case and white space only, and for longer texts that differ beyond that opening only."""
     return F.md5(F.substring(F.lower(collapse(text, ws)), 1, 600))
 
 
