@@ -113,6 +113,14 @@ def test_leak_candidates_whatever_the_size(spark):
     assert {(r.doc, r.item) for r in found} == {(1, i) for i, _ in items} | {(2, 7)}
 
 
+def test_leaks_of_equal_items(spark):
+    text = "Seven grey herons waited beside the frozen canal before dawn."
+    items = [(i, text) for i in range(6)] + [(9, "The copper kettle sang while nobody in the kitchen was listening.")]
+    d = spark.createDataFrame([(1, f"Before it. {text} After it."), (2, "Nothing of the sort stands here.")], "doc_id long, text string")
+    found = leak.contained_items(d, "doc_id", spark.createDataFrame(items, "item_id long, text string"), "item_id").collect()
+    assert {(r.doc, r.item) for r in found} == {(1, i) for i in range(6)}
+
+
 def test_quotas():
     share, least = np.array([0.4, 0.3, 0.2, 0.1]), np.array([0, 0, 0, 30])
     have = np.array([1000, 10, 1000, 20])
