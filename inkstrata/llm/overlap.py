@@ -8,8 +8,8 @@ decides.
 Copies (equal token sequences) are collapsed to a class before anything is joined, so a text that
 fills a third of the table costs one record.  Fingerprints are counted (with map-side partial
 counts) before they are joined: of those that are frequent on both sides a record leaves out only as
-many of the most frequent as cannot matter for a match (prefix filtering), so no match is lost to
-boilerplate.
+many of the most frequent as do not matter for a match that shares KEPT of them (prefix filtering).
+KEPT is an average, not a bound: a match that shares less can be lost.
 
 Null and blank texts and rows without split take no part; a text without any letter or digit has no
 tokens and takes no part; repeated ids are taken once; extra columns are ignored.
@@ -33,7 +33,7 @@ SCALES = ((2, 1, 7, 10), (4, 1, 0, 56), (5, 7, 40, 1 << 60))
 #: A fingerprint shared by at most so many pairs of classes is joined for all its records, one beyond for those that need it.
 PAIRS = 200
 SHARE = 0.85
-#: Part of a record's fingerprints that a match shares at least (a share of 0.85 leaves about a third), and part that must meet in the join (one at least).
+#: Part of a record's fingerprints that a match is taken to share (a share of 0.85 leaves about a third on average, not at least), and part that must meet in the join (one at least).
 KEPT, SEEDED = 0.3, 0.06
 #: Ids of records to align that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -227,8 +227,8 @@ def cross_split_pairs(df: DataFrame, id_col: str, train: str, text: str = "text"
     shared = cut(prints.groupBy("fp").agg(sides).where((nt > 0) & (no > 0)).select("fp", (nt * no).alias("pairs")))
     rare, frequent = shared.where(F.col("pairs") <= PAIRS), shared.where(F.col("pairs") > PAIRS)
     useful = cut(_sifted(prints, rare).join(rare.select("fp"), "fp").select("fp", "rep", "meta"))
-    # Prefix rule: of P fingerprints a match shares KEPT * P, so it shares SEEDED * P among all but the (KEPT - SEEDED) * P most frequent
-    # ones. Only those are left out, and only where they are frequent: every record keeps enough to be found.
+    # Prefix rule: of P fingerprints a match shares KEPT * P on average; one that does shares SEEDED * P among all but the (KEPT - SEEDED) * P most frequent
+    # ones. Only those are left out, and only where they are frequent: such a match keeps enough to be found.
     size_of = F.shiftright("meta", 2).bitwiseAND((1 << 29) - 1)
     own = W.partitionBy("rep")
     some = _sifted(prints, frequent).join(frequent, "fp").withColumn("frequent", F.count("*").over(own)).where(F.col("frequent") > (KEPT - SEEDED) * size_of)
