@@ -183,3 +183,37 @@ def test_budget(spark):
 def test_wrapped_lines_and_case():
     assert units("He met Dr.\nPello on the road to\nMiktor. Then he left and went home again, P. M. Lusor said nothing.") == ["He met Dr.\nPello on the road to\nMiktor.", "Then he left and went home again, P. M. Lusor said nothing."]
     assert units("the old mill burned. nobody saw the fire, i.e. the smoke.") == ["the old mill burned.", "nobody saw the fire, i.e. the smoke."]
+
+
+def _usual(n):
+    return [("Rewrite this.", f"The baker {i} opened his shop before the rain came down. Nobody in the village had read the treaty.", f"Before it rained, baker {i} had opened the shop. The treaty was unread in the village. It was late.") for i in range(n)]
+
+
+def test_refusals_in_other_words_than_the_lists(monkeypatch):
+    """The classifier decides: with the word lists emptied, refusals that neither they nor the grammar spell out are found, and answers that tell of one are not."""
+    never = pairs.re.compile("(?!)")
+    monkeypatch.setattr(pairs, "_DECLINE", never)
+    monkeypatch.setattr(pairs, "_OFFER", never)
+    ref = {"en": langid.reading(ENGLISH * 3), "es": langid.reading(SPANISH * 3)}
+    usual = _usual(80)
+    model, features = pairs.fit_pairs(usual, ref), pairs.Featurizer(ref)
+    refused = ["I regret that I cannot take on this request.", "Sorry, this passage is something I am not able to rewrite for you.", "I must decline this one, since my guidelines do not allow it.", "Unfortunately I won't be able to handle your document."]
+    told = [usual[3][2] + " “I cannot help with that,” said the baker, and nobody in the village asked him again before the rain came down."]
+    p = model.scores(features([("Rewrite this.", usual[0][1], t) for t in refused + told]))[:, 2]
+    assert (p[:4] >= model.thresholds[2]).all() and p[4] < model.thresholds[2]
+
+
+def test_empty_and_copy_of_any_length():
+    assert pairs.is_empty("<p>none</p>" + "<br>" * 200) and not pairs.is_empty("<p>none</p>" + "<br>" * 200 + "word")
+    s = "The old treaty was lost. Nobody read it."
+    lead = "Here is, after careful thought and a good deal of further reading in all the papers that were sent to me over the last two weeks, the text:"
+    assert pairs.copies(s, lead + "\n" + s)
+
+
+def test_long_unit_among_short_ones():
+    """A block of the parse is bounded by its cells, and a unit parsed in pieces needs about as many phrases as in one."""
+    p = parser()
+    text = langid.reading(ENGLISH * 80)
+    got = p.phrases([text, *[langid.reading("The baker opened the shop.")] * 50])
+    whole = p._walk(langid.suffix_automaton(langid.reading(ENGLISH * 3)), text)
+    assert abs(got[0, 0] - whole) <= len(text) // langid.LONG + 1 and (got[1:] == got[1]).all()
