@@ -38,7 +38,7 @@ DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 #: Pairs that the fit reads, those with the least hash of their id, and code points of each text of them at most.
 FIT_PAIRS, FIT_CHARS = 500, 4000
 #: Columns of hashed n-grams; rounds, rate and decay of the fit; how many sound pairs one broken pair stands against.
-HASHED, EPOCHS, RATE, DECAY, SOUND = 1 << 15, 60, 0.1, 2e-5, 8.0
+HASHED, EPOCHS, RATE, DECAY, SOUND = 1 << 17, 60, 0.1, 2e-5, 4.0
 #: Weight in the first fits of what is made of responses as they came, some of which are broken themselves.
 DOUBT = 0.1
 #: Defects whose definition is checked after the classifier chose them, and the share of held-out ones that their thresholds keep.
@@ -376,11 +376,13 @@ class Featurizer:
         hashes, offsets = token_hashes([plain(t) for t in bare])
         own, begin = token_hashes([plain(_MARKUP.sub(" ", s or "")) for _, s, _ in pairs])
         size = np.diff(offsets)
-        owner = np.repeat(np.arange(len(pairs)), size)
-        two = kgrams(hashes, 2)
+        # Whole response without quoted speech, which tells what others said: single tokens and pairs of them, by their share of it.
+        said, at = token_hashes([plain(_QUOTED.sub(" ", t)) for t in bare])
+        count = np.diff(at)
+        owner = np.repeat(np.arange(len(pairs)), count)
+        two = kgrams(said, 2)
         whole = owner[: len(two)] == owner[1:] if len(two) else np.zeros(0, bool)
-        # Whole response: single tokens and pairs of them, by their share of the response.
-        row, column, value = [owner, owner[: len(two)][whole]], [hashes % HASHED, two[whole] % HASHED], [6.0 / size[owner], 6.0 / size[owner[: len(two)][whole]]]
+        row, column, value = [owner, owner[: len(two)][whole]], [said % HASHED, two[whole] % HASHED], [6.0 / np.maximum(count, 3)[o] for o in (owner, owner[: len(two)][whole])]
         for back in (1, 2, 3):  # its last tokens, each with its distance from the end
             some = np.flatnonzero(size >= back)
             row.append(some)
@@ -464,6 +466,8 @@ def _made(pairs: list[tuple[str | None, str, str]], rng: random.Random, language
                 if len(last) > 24 and last[len(last) // 2 - 1].isalnum():
                     stopped = [x + rng.choice((";", ".")) for x in listed[:-1]]
                     add((instruction, source, "\n".join([*stopped, last[: len(last) // 2]])), "truncated")
+        if (short := _SAYING.findall(target)) and rng.random() < 0.4:  # an answer of a word or two
+            add((instruction, source, " ".join(short[rng.randrange(len(short)) :][: rng.randrange(1, 4)]).capitalize() + rng.choice((".", ".", f", {rng.randrange(1500, 2030)}."))))
         if source and (parts := _MODEL.units(source)):
             shown = rng.choice((source, source, source.upper(), source.lower(), source.replace(" ", "\n", 3), rng.choice(("Here is the text:", "Result:", "Sure, here you go:", "Voici le texte :", "Hier ist der Text:")) + "\n" + source, source.replace(", ", " "), "> " + source, f"**{source}**"))
             add((instruction, source, shown), "copy", *foreign, *(("truncated",) if breaks_off(source) else ()))
@@ -488,7 +492,9 @@ def _made(pairs: list[tuple[str | None, str, str]], rng: random.Random, language
                 said = made_refusal(rng, speaks)
                 add((instruction, source, said), "refusal", *(("other_language",) if speaks != language else ()))
         if len(units) > 1 and rng.random() < 0.5:  # told within an answer, or an apology before one
-            told = f"“{made_refusal(rng, language).lstrip('>*[-').strip()}” " + rng.choice(("said Ann. ", "— Ann. "))
+            said = made_refusal(rng, language).lstrip(">*[-").strip()
+            opens, closes = rng.choice((("“", "”"), ("„", "“"), ("«", "»"), ('"', '"'))) if language not in ("ja", "zh") else ("「", "」")
+            told = f"{opens}{said}{closes} " + rng.choice(("said Ann. ", "— Ann. ", "wrote Ann in the reply. "))
             at = units[rng.randrange(1, len(units))][0]
             add((instruction, source, target[:at] + told + target[at:]))
             add((instruction, source, rng.choice(REFUSALS[language][6]) + " " + target))
