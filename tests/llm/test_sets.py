@@ -222,3 +222,30 @@ def test_containers(spark):
         assert {i: sum(r.tokens for r in p) for i, p in per.items()} == sizes
         assert all(len(p) == 1 for i, p in per.items() if sizes[i] <= cap)
     assert packing.pack(items.limit(0), specs).count() == 0
+
+
+def _sentence(rng, n=15):
+    return " ".join("w" + format(rng.getrandbits(40), "x") for _ in range(n)).capitalize() + "."
+
+
+def test_one_passage_of_four_questions(spark):
+    """A passage that several items share, in equal or reworked copies, is no framing; what stands beside many passages is."""
+    rng = random.Random(21)
+    passage = " ".join(_sentence(rng) for _ in range(4))
+    items = [(f"i{k}", f"Read the following text with care.\n\n{passage}\n\n{_sentence(rng, 7)}") for k in range(4)]
+    reworked = [_sentence(rng) for _ in range(3)]
+    items += [(f"r{k}", "Read the following text with care.\n\n" + " ".join([*reworked, _sentence(rng, 5)])) for k in range(6)]
+    docs = [(1, _sentence(rng) + " " + passage), (2, "Read the following text with care. " + _sentence(rng)), (3, reworked[1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame(items, "item_id string, text string")
+    found = {(r.doc, r.item) for r in leak.contained_items(d, "doc_id", t, "item_id").collect()}
+    assert found == {(1, f"i{k}") for k in range(4)} | {(3, f"r{k}") for k in range(6)}
+
+
+def test_many_leaks_in_one_document(spark):
+    """A document that holds hundreds of items' sentences: all are found."""
+    rng = random.Random(22)
+    leaked = [_sentence(rng) for _ in range(500)]
+    d = spark.createDataFrame([(1, " ".join(leaked))], "doc_id long, text string")
+    t = spark.createDataFrame([(k, s + " " + _sentence(rng)) for k, s in enumerate(leaked)], "item_id long, text string")
+    assert {r.item for r in leak.contained_items(d, "doc_id", t, "item_id").collect()} == set(range(500))
