@@ -1,12 +1,18 @@
 """Problem 10: sentence units of texts in any language and layout.
 
-A hidden-event n-gram language model: between two tokens stands an unseen event, boundary or none.
-The model scores how well the tokens left and right of a gap fit either event, a chain over the
-gaps of a block ties neighbouring events together, and forward-backward posteriors decide.  It
-starts from the priors below and is re-estimated (Baum-Welch over gaps, with the ends and starts of
-blocks as observed boundaries) on a bounded sample of documents.
-
-Layout gives events that are certain: a blank line, a list item's marker, a line that a hard wrap
+A hidden-event n-gram language model: between any two words stands an unseen event, boundary or none.
+Where a sign stands in the gap (a stop, a quotation mark, a line break), its class and the tokens left
+and right of it (two on either side, backing off to one) score both events.  Where only a blank or
+nothing stands, an n-gram model of words with boundary tokens scores them: the chance of a boundary
+behind the two words to the left and of the two words to the right at a sentence's beginning, against
+that of the words going on.  How much such a gap may be a boundary at all depends on how unlikely it
+is that a writer who uses stops would use none for so many words (from the lengths of the fitted
+units), so unpunctuated texts and scripts are split and others are not.  A chain over all gaps of a
+block ties neighbouring events together, and forward-backward posteriors decide.  The model starts
+from the priors below and is re-estimated (Baum-Welch over gaps, with the ends and starts of blocks as
+observed boundaries) on a bounded sample of documents.
+
+Layout gives events that are observed: a blank line, a list item's marker, a line that a hard wrap
 cannot have ended.  Gaps within quoted speech are none.  Scripts without cases, blanks or stops use
 the same events with their own classes.
 
@@ -17,16 +23,19 @@ each row is handled by itself, repeated rows give repeated units.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .canon import UNSPACED, transducer
+from .canon import UNSPACED, mix, token_hashes, transducer
+from .common import pieces
 
 # Shortened words that something follows, and those that may also end a sentence.
 ABBREVIATIONS = set(
@@ -65,6 +74,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SOLID = re.compile(r"\S+")
 _DAY = re.compile(r"\d{1,2}\.\s+([^\W\d_]+)")
 _CJK = re.compile(f"[{UNSPACED}]")
+_FOLLOWS = re.compile(r"\s+([^\W\d_]+)")
 
 
 _ODD_CASE = re.compile(r"(?:^|\n\n)[a-zà-ÿа-я]{2,}[^\n.)]*\.|(?:[A-ZÀ-Þ]{2,} ){4}|(?:[А-Я]{2,} ){3}")
@@ -85,18 +95,113 @@ def _shape(ch: str) -> str:
 # The model's priors (log odds of a boundary) by class of the left and the right token.
 LEFT_PRIOR = {"word": 1.5, "short": 0.5, "abbr": -7.0, "mayend": 0.0, "initial": -5.0, "letter": -2.0, "number": -0.5, "ordinal": -0.5, "ask": 2.5, "wide": 5.0, "danda": 5.0, "dots": -1.5, "widedots": -6.0, "closed": 1.0, "quoted": -1.5, "foreign": -2.5}
 RIGHT_PRIOR = {"lower": -6.0, "upper": 1.5, "letter": 1.0, "digit": -0.7, "cjk": 1.0, "open": 1.5, "other": -0.5}
-#: Bounds of the estimation: documents, code points of each, rounds, least count of a token.
-FIT_DOCUMENTS, FIT_CHARS, ROUNDS, LEAST = 1500, 20_000, 2, 4
+#: Bounds of the estimation: documents, code points of each, rounds, and how many observations the prior of a token's weight stands for.
+FIT_DOCUMENTS, FIT_CHARS, ROUNDS, PRIOR = 1500, 20_000, 2, 6.0
+#: Share of blocks whose writer uses no stops, chance of a stop in one all the same; mean words (characters of unspaced scripts) of a unit before the fit; strength of backing off.
+UNSTOPPED, STRAY, WORDS, SIGNS, BACK = 0.01, 0.01, 16.0, 28.0, 2.0
+#: Log odds that a blank adds between characters of scripts that use none between words.
+BLANK = 3.0
 
 
 ABBREVIATIONS, MAY_END, REPORTING = ({transducer().apply(w) for w in words} for words in (ABBREVIATIONS, MAY_END, REPORTING))
 
 
+class Ngrams:
+    """Counts of the words and runs of two and three of them in the fitted units, and of those at their beginnings and ends; and the units' lengths."""
+
+    _TAGS = {"one": 1, "two": 2, "three": 3, "first": 4, "first two": 5, "last": 6, "last two": 7}
+
+    def __init__(self, units: list[str] | None = None) -> None:
+        self.keys, self.counts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(1), np.zeros(1)]
+        self.words = self.all = 0
+        self.least: dict[tuple[bool, int], int] = {}
+        if not units:
+            return
+        h, at = token_hashes([u.lower() for u in units])
+        size = np.diff(at)
+        owner = np.repeat(np.arange(len(size)), size)
+        some, pair = size > 0, size > 1
+        same = [owner[: -k or None] == owner[k:] for k in (0, 1, 2)]
+        first, last = at[:-1][some], at[1:][some] - 1
+        found = [self._key("one", h), self._key("two", h[:-1], h[1:])[same[1]], self._key("three", h[:-2], h[1:-1], h[2:])[same[2]], self._key("first", h[first]), self._key("last", h[last])]
+        begin, end = at[:-1][pair], at[1:][pair] - 1
+        found += [self._key("first two", h[begin], h[begin + 1]), self._key("last two", h[end - 1], h[end])]
+        self.keys, self.counts = np.unique(np.concatenate(found), return_counts=True)
+        self.words, self.all = int(len(np.unique(h))), int(len(h))
+        unspaced = np.array([len(_CJK.findall(u)) * 2 > len(u) for u in units])
+        words = np.array([_words(u, bool(k)) for u, k in zip(units, unspaced, strict=True)])
+        self.lengths = [np.bincount(words[unspaced == kind], minlength=1).astype(float) for kind in (False, True)]
+
+    def _key(self, tag: str, *tokens: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            key = np.full(len(tokens[0]), self._TAGS[tag], np.uint64)
+            for t in tokens:
+                key = mix(key * np.uint64(0x100000001B3) + t)
+        return key
+
+    def _n(self, tag: str, *tokens: np.ndarray) -> np.ndarray:
+        key = self._key(tag, *tokens)
+        if not len(self.keys):
+            return np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.counts[at], 0).astype(float)
+
+    def odds(self, h: np.ndarray) -> np.ndarray:
+        """Log odds of a boundary in each gap between the words of a stretch without signs."""
+        units = sum(float(x.sum()) for x in self.lengths)
+        if len(h) < 2 or not self.all:
+            return np.full(max(0, len(h) - 1), -math.log(WORDS - 1))
+        usual = (self._n("one", h) + 0.5) / (self.all + 0.5 * self.words + 1)
+        one, first, last = self._n("one", h), self._n("first", h), self._n("last", h)
+        two, first_two, last_two = self._n("two", h[:-1], h[1:]), self._n("first two", h[:-1], h[1:]), self._n("last two", h[:-1], h[1:])
+        three = self._n("three", h[:-2], h[1:-1], h[2:])
+        ends = (last + BACK * units / self.all) / (one + BACK)  # a boundary behind a word
+        ends[1:] = (last_two + BACK * ends[1:]) / (two + last_two + BACK)
+        begins = (first + BACK * usual) / (units + BACK)  # a word behind a boundary
+        goes = (two + BACK * usual[1:]) / (one[:-1] + BACK)  # a word behind a word
+        on = goes.copy()
+        on[1:] = (three + BACK * goes[1:]) / (two[:-1] + BACK)  # behind two words
+        begins_two = (first_two + BACK * goes) / (first[:-1] + BACK)  # a second word behind a boundary and a word
+        gap = np.log(ends[:-1]) - np.log1p(-np.minimum(ends[:-1], 1 - 1e-9)) + np.log(begins[1:]) - np.log(on)
+        gap[:-1] += np.log(begins_two[1:]) - np.log(on[1:])
+        return gap
+
+    def stopless(self, words: int, unspaced: bool, stops: int) -> float:
+        """Chance that a stretch of so many words comes from a writer who uses no stops, where so many stand in its block."""
+        lengths, mean = self.lengths[unspaced], SIGNS if unspaced else WORDS
+        total = float(lengths.sum())
+        if total > 50:
+            mean = max(4.0, float((lengths * np.arange(len(lengths))).sum()) / total)
+            longest = len(lengths) - 1
+            beyond = (float(lengths[words:].sum()) + 0.5 * math.exp(-max(0, words - longest) / mean)) / (total + 0.5)
+        else:
+            beyond = math.exp(-words / mean)
+        prior = UNSTOPPED * STRAY ** min(stops, 100)
+        return prior / (prior + (1 - prior) * beyond)
+
+    def needed(self, unspaced: bool, stops: int) -> int:
+        """Least words of a stretch that is more likely than not written without stops."""
+        key = unspaced, min(stops, 100)
+        if key not in self.least:
+            low, high = 1, 1
+            while self.stopless(high, *key) <= 0.5:
+                low, high = high, 2 * high
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (low, middle) if self.stopless(middle, *key) > 0.5 else (middle + 1, high)
+            self.least[key] = low
+        return self.least[key]
+
+
+def _words(piece: str, unspaced: bool) -> int:
+    return len(_CJK.findall(piece)) if unspaced else len(piece.split())
+
+
 class BoundaryModel:
-    """Left and right n-gram log odds over priors; picklable and small (only frequent tokens)."""
+    """Left and right n-gram log odds over priors, and the n-gram model of words; picklable, bounded by the fit's parameters."""
 
-    def __init__(self, left: dict[str, float] | None = None, right: dict[str, float] | None = None) -> None:
-        self.left, self.right = left or {}, right or {}
+    def __init__(self, left: dict | None = None, right: dict | None = None, words: Ngrams | None = None) -> None:
+        self.left, self.right, self.words = left or {}, right or {}, words or Ngrams()
 
     def units(self, text: str) -> list[tuple[int, int]]:
         """Start and end of each unit, without outer blanks."""
@@ -114,14 +219,63 @@ class BoundaryModel:
         """Posterior and place of each gap whose event is a boundary."""
         cuts: list[tuple[float, int]] = []
         block: list[tuple[float, int, int]] = []
+        begun = 0
         for kind, score, place, words in self._gaps(text):
             if kind == "sure":
-                cuts += _decide(block)
-                block = []
+                cuts += self._decided(text, begun, place, block)
+                block, begun = [], place
                 cuts.append((1.0, place))
             else:
                 block.append((score, place, words))
-        return cuts + _decide(block)
+        return cuts + self._decided(text, begun, len(text), block)
+
+    def _decided(self, text: str, a: int, b: int, signs: list[tuple[float, int, int]]) -> list[tuple[float, int]]:
+        """Boundaries of a block: gaps with signs, and those between words in stretches that more likely than not are written without stops."""
+        if b - a < SHORTEST:
+            return _decide(signs)
+        likely = [place for score, place, _ in signs if score > -1.0]
+        stops = len(likely) + (text[:b].rstrip()[-1:] in STOPS if b == len(text) else text[a:b].rstrip()[-1:] in STOPS)
+        taken, more = {place for _, place, _ in signs}, []
+        own = _BLANKLESS.search(text, a, b) is not None
+        least = SHORTEST if own else min(2 * self.words.needed(False, stops) - 1, self.words.needed(True, stops))
+        for lo, hi in zip([a, *likely], [*likely, b], strict=True):
+            if hi - lo >= least:
+                more += [x for x in self._plain(text[lo:hi], lo, stops) if not taken.intersection(range(x[1] - 2, x[1] + 3))]
+        return _decide(sorted([*signs, *more], key=lambda x: x[1]) if more else signs)
+
+    def _plain(self, piece: str, at: int, stops: int) -> list[tuple[float, int, int]]:
+        """Gaps between words of a stretch without a likely sign, which begins at ``at``: score, place and words since the gap before.
+
+        None may be a boundary with a higher chance than that of the stretch being written without stops, so where this is no
+        more than a half the gaps need not be scored.
+        """
+        blankless = _BLANKLESS.search(piece) is not None and 2 * len(_BLANKLESS.findall(piece)) > len(piece)  # Thai and its like: blanks part clauses, not words
+        unspaced = not blankless and _CJK.search(piece) is not None and 2 * len(_CJK.findall(piece)) > len(piece)
+        chance = 1.0 if blankless else self.words.stopless(_words(piece, unspaced), unspaced, stops)
+        if chance <= 0.5:
+            return []
+        low = piece.lower()
+        h, _, start, end = token_hashes([low if len(low) == len(piece) else piece], places=True)
+        if len(h) < 2:
+            return []
+        odds = self.words.odds(h)
+        blank = np.array([piece[e:s].isspace() for e, s in zip(end[:-1].tolist(), start[1:].tolist(), strict=True)])
+        if blankless:
+            odds = np.where(blank, 1.0, -20.0)
+        elif unspaced:
+            odds = odds + np.where(blank, BLANK, 0.0)
+        else:
+            odds[[not any(map(str.isspace, piece[e:s])) for e, s in zip(end[:-1].tolist(), start[1:].tolist(), strict=True)]] = -20.0  # words are parted by blanks
+        p = chance / (1 + np.exp(-np.clip(odds, -30, 30)))
+        score = np.log(p) - np.log1p(-np.minimum(p, 1 - 1e-9))
+        out, before = [], 0
+        for i in np.flatnonzero(score > LOWEST).tolist():
+            place = int(start[i + 1])
+            while place > int(end[i]) and piece[place - 1] in _OPENERS:
+                place -= 1
+            out.append((float(score[i]), at + place, i + 1 - before))
+            before = i + 1
+        return out
 
     def _gaps(self, text: str, seen: list | None = None) -> Iterator[tuple[str, float, int, int]]:
         n, closing, until, pos, last_place, last_cut = len(text), "", -1, 0, 0, 0
@@ -268,9 +422,13 @@ class BoundaryModel:
             shape = "letter"  # a text, or a part of it, in one case: nothing follows from the small letter
         if bare and cls in ("ask",) and shape in ("lower", "digit", "other"):
             return None
+        before = head[-2] if len(head) > 1 and raw else ""
+        follows = _FOLLOWS.match(text, rw.end()) if rw else None
+        after = follows[1] if follows else ""
         if seen is not None:
-            seen.append((left, word if shape != "upper" or len(word) <= 6 else shape, j))
-        score = LEFT_PRIOR[cls] + RIGHT_PRIOR[shape] + self.left.get(left, 0.0) + self.right.get(word, 0.0)
+            seen.append((left, before, word if shape != "upper" or len(word) <= 6 else shape, after, j))
+        weigh, other = self.left, self.right
+        score = LEFT_PRIOR[cls] + RIGHT_PRIOR[shape] + weigh.get((before, left), weigh.get(left, 0.0)) + other.get((word, after), other.get(word, 0.0))
         if quoted and shape in ("cjk", "letter") and not dash:
             score -= 4.0
         if cls == "wide":
@@ -320,6 +478,9 @@ def _dot(raw: str, prev: str, all_caps: bool) -> tuple[str, str, str, str]:
     return left, cls, core, letters
 
 
+#: Code points of the shortest stretch that may hold a boundary without a sign, and log odds below which such a gap cannot change its neighbours.
+SHORTEST, LOWEST = 24, -6.0
+_BLANKLESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 #: Log odds between the events of neighbouring gaps: two boundaries with no or one word between them are rare.
 NEAR = -1.5
 
@@ -351,12 +512,12 @@ def _decide(block: list[tuple[float, int, int]]) -> list[tuple[float, int]]:
 
 
 def fit_boundaries(texts: list[str]) -> BoundaryModel:
-    """Estimates the token log odds: expected counts of events around each token, ends of blocks being observed boundaries."""
+    """Estimates the weights: expected counts of events around each token and each pair of tokens, ends of blocks being observed boundaries; then the n-gram model of words on the units found."""
     model = BoundaryModel()
     for _ in range(ROUNDS):
         counts = {side: (Counter(), Counter()) for side in ("l", "r")}
         for text in texts:
-            seen: list[tuple[str, str, int]] = []
+            seen: list[tuple[str, str, str, str, int]] = []
             block: list[tuple[float, int, int]] = []
             posterior: dict[int, float] = {}
             for kind, score, place, words in model._gaps(text, seen):
@@ -367,35 +528,50 @@ def fit_boundaries(texts: list[str]) -> BoundaryModel:
                     posterior.update((q, p) for p, q in _decide(block))
                     block = []
             posterior.update((q, p) for p, q in _decide(block))
-            for left, right, place in seen:
+            for left, before, right, after, place in seen:
                 p = posterior.get(place)
                 if p is not None:
-                    for side, token in (("l", left), ("r", right)):
+                    for side, token in (("l", left), ("l", (before, left)), ("r", right), ("r", (right, after))):
                         counts[side][0][token] += p
                         counts[side][1][token] += 1 - p
         fitted = {}
         for side, (yes, no) in counts.items():
-            base = math.log((sum(yes.values()) + 1) / (sum(no.values()) + 1))
-            fitted[side] = {t: max(-2.0, min(2.0, 0.5 * (math.log((yes[t] + 0.5) / (no[t] + 0.5)) - base))) for t in set(yes) | set(no) if yes[t] + no[t] >= LEAST}
+            single = [t for t in set(yes) | set(no) if isinstance(t, str)]
+            base = (sum(yes[t] for t in single) + 1) / (sum(yes[t] + no[t] for t in single) + 2)
+            share = {t: (yes[t] + PRIOR * base) / (yes[t] + no[t] + PRIOR) for t in single}
+            odds = lambda p: 0.5 * (math.log(p / (1 - p)) - math.log(base / (1 - base)))  # noqa: E731, B023 - both sides tell of the same events: half each
+            fitted[side] = {t: odds(p) for t, p in share.items()}
+            for t in set(yes) | set(no):
+                if not isinstance(t, str) and yes[t] + no[t] >= 2:  # pairs of tokens back off to the single one
+                    alone = share[t[1] if side == "l" else t[0]]
+                    fitted[side][t] = odds((yes[t] + PRIOR * alone) / (yes[t] + no[t] + PRIOR))
         model = BoundaryModel(fitted["l"], fitted["r"])
-    return model
+    return BoundaryModel(model.left, model.right, Ngrams([text[a:b] for text in texts for a, b in model.units(text)]))
 
 
 def fit_on(df: DataFrame, id_col: str, text: str = "text", documents: int = FIT_DOCUMENTS) -> BoundaryModel:
-    """Fits on at most ``documents`` texts of at most FIT_CHARS code points, those with the least hash of their id."""
+    """Fits, in one task, on at most ``documents`` texts of at most FIT_CHARS code points, those with the least hash of their id."""
     part = min(1.0, 4.0 * documents / max(1, df.count()))
     h = F.xxhash64(id_col)
-    # The hash threshold keeps what reaches the driver near the bound, however large the table is.
+    # The hash threshold keeps what is sorted near the bound, however large the table is.
     near = df.where((F.pmod(h, F.lit(1 << 20)) < int(part * (1 << 20)) + 1) & F.col(text).isNotNull() & (F.length(text) <= FIT_CHARS))
-    return fit_boundaries([r.t for r in near.select(h.alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(documents).collect()])
+    sample = near.select(h.alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(documents).repartition(1).sortWithinPartitions("h", "t")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit_boundaries([t for b in batches for t in b.column(1).to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample.mapInArrow(fit, "model binary").first()
+    return pickle.loads(found.model) if found else BoundaryModel()
 
 
 def sentence_units(df: DataFrame, id_col: str, text: str = "text", model: BoundaryModel | None = None) -> DataFrame:
     """``id, sent_start, sent_end`` of every unit of every text."""
-    model = model or fit_on(df, id_col, text)
+    sent = df.sparkSession.sparkContext.broadcast(model or fit_on(df, id_col, text))  # bounded by the fit's parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        model = sent.value
+        for b in pieces(batches, 1):
             ids, starts, ends = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 units = model.units(t)

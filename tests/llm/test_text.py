@@ -217,3 +217,27 @@ def test_long_unit_among_short_ones():
     got = p.phrases([text, *[langid.reading("The baker opened the shop.")] * 50])
     whole = p._walk(langid.suffix_automaton(langid.reading(ENGLISH * 3)), text)
     assert abs(got[0, 0] - whole) <= len(text) // langid.LONG + 1 and (got[1:] == got[1]).all()
+
+
+def _stories(n, seed):
+    rng = random.Random(seed)
+    who, did, what, where = ("the baker", "my sister", "an old man", "the judge", "nobody", "our guide"), ("opened", "rejected", "found", "sold", "described"), ("the shop", "the treaty", "a letter", "the bridge", "some bread"), ("in the village", "before the rain", "near the river", "last year", "without a word")
+    return [[" ".join(rng.choice(x) for x in (who, did, what, where)) for _ in range(rng.randrange(4, 9))] for _ in range(n)]
+
+
+def test_unstopped_text_is_split_between_words():
+    model = sentences.fit_boundaries([" ".join(s.capitalize() + "." for s in story) for story in _stories(150, 1)])
+    found = true = both = 0
+    for story in _stories(40, 2):
+        text = " ".join(story)
+        starts, at = set(), 0
+        for s in story:
+            starts.add(at)
+            at += len(s) + 1
+        got = {a for a, _ in model.units(text)}
+        found, true, both = found + len(got), true + len(starts), both + len(got & starts)
+    assert both > 0.9 * true and both > 0.9 * found
+    heading = "notes on the bridge near the river"
+    assert [heading] == [heading[a:b] for a, b in model.units(heading)]
+    thai = "สวัสดีครับ ผมชื่อสมชาย วันนี้อากาศดีมาก เราไปเดินเล่นที่สวนกันเถอะ"
+    assert [thai[a:b] for a, b in model.units(thai)] == thai.split()
