@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, pieces
+
 # Letters of the Cyrillic and Greek alphabets and the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухіѕјһԁԛԝӏАВЕКМНОРСТХІЅЈУԌԚԜӀҺ", "aeopcyxisjhdqwlABEKMHOPCTXISJYGQWIh", strict=True))
 GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳν", "oABEZHIKMNOPTYXjv", strict=True))
@@ -277,7 +279,7 @@ def canonical_keys(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = transducer().apply
-        for b in batches:
+        for b in pieces(batches, 1):
             ids, forms, raws = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 form = apply(t)
@@ -295,12 +297,17 @@ def canonical_keys(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 def same_look_pairs(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """Pairs (id_a < id_b) of rows whose texts differ but have one canonical form.
 
-    Classes of equal texts are collapsed first: a form with a single spelling, however many copies
-    it has, costs one row and yields nothing.  Only forms with several spellings are expanded.
+    Texts are read and brought to their form once.  Classes of equal texts stand for their members
+    until the end: forms with a single spelling, however many copies they have, cost one row and
+    yield nothing; of the others the pairs of different spellings are formed, and only those are
+    expanded to the rows, so copies of one spelling never meet each other.
     """
-    keys = canonical_keys(df, id_col, text)
-    classes = keys.groupBy("form_key").agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi")).where("lo != hi").select("form_key")
-    members = keys.join(classes, "form_key", "left_semi")
-    a, b = members.alias("a"), members.alias("b")
-    pairs = a.join(b, (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw_key") != F.col("b.raw_key")))
-    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    keys = cut(canonical_keys(df, id_col, text).distinct())
+    spellings = keys.groupBy("form_key", "raw_key").agg(F.count("*").alias("n"))
+    several = spellings.groupBy("form_key").agg(F.count("*").alias("n")).where("n > 1").select("form_key")
+    own = spellings.join(several, "form_key", "left_semi").select("form_key", "raw_key")
+    x, y = own.withColumnRenamed("raw_key", "x"), own.withColumnRenamed("raw_key", "y")
+    unlike = x.join(y, "form_key").where("x < y").select("x", "y")
+    members = lambda name, out: keys.select(F.col("raw_key").alias(name), F.col("id").alias(out))
+    pairs = unlike.join(members("x", "p"), "x").join(members("y", "q"), "y").where("p != q")
+    return pairs.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()

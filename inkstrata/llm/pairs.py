@@ -17,6 +17,7 @@ out; repeated ids give each defect once, from the last delivery.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .canon import mix, plain, token_hashes, tokens, transducer
 from .common import pieces
-from .langid import CODE_OF, LANGUAGES, LETTER, parser_of, reading, script_counts
+from .langid import CODE_OF, LANGUAGES, LETTER, parser_of, reading, script_counts, units_model
 from .overlap import kgrams
 from .sentences import _CLOSE, _MARKER, LEADING, STOPS, BoundaryModel, _dot
 
@@ -42,7 +43,7 @@ HASHED, EPOCHS, RATE, DECAY, SOUND = 1 << 17, 60, 0.1, 2e-5, 4.0
 #: Weight in the first fits of what is made of responses as they came, some of which are broken themselves.
 DOUBT = 0.1
 #: Defects whose definition is checked after the classifier chose them, and the share of held-out ones that their thresholds keep.
-EXACT, RECALL = ("empty", "copy"), 0.998
+EXACT, RECALL, MARGIN = ("empty", "copy"), 0.998, 3.0
 
 # What stands for no answer.
 FILLERS = {"", "none", "null", "na", "n a", "nil", "nan", "empty", "no output", "no answer", "no response", "no content", "undefined", "blank", "todo", "tbd", "output", "response", "answer", "assistant"}
@@ -363,7 +364,7 @@ class Featurizer:
     """Features of pairs; languages by cross parsing."""
 
     def __init__(self, reference: dict[str, str]) -> None:
-        self.parser = parser_of(reference)
+        self.parser, self.model = parser_of(reference), units_model(reference)
 
     def __call__(self, pairs: list[tuple[str | None, str | None, str | None]]) -> Features:
         """Features of (instruction, source, target)."""
@@ -391,7 +392,7 @@ class Featurizer:
         shapes, dense = ([], []), np.zeros((len(pairs), DENSE))
         for i, (instruction, source, target) in enumerate(pairs):
             text = target or ""
-            units = _MODEL.units(text)
+            units = self.model.units(text)
             for g in end_shape(text, text[units[-1][0] : units[-1][1]] if units else ""):
                 shapes[0].append(i)
                 shapes[1].append(zlib.crc32(g.encode("utf-8", "surrogatepass")) % HASHED)
@@ -439,9 +440,10 @@ def _made(pairs: list[tuple[str | None, str, str]], rng: random.Random, language
         owner.append(i if of is None else of)
         kind.append(2 if pair == pairs[i] else 0 if {"refusal", "empty", "copy"} & set(defects) else 1)
 
+    model = units_model(reference)
     for i, (instruction, source, target) in enumerate(pairs):
         add((instruction, source, target))
-        units = _MODEL.units(target)
+        units = model.units(target)
         language, named = LANGUAGES[languages[i]], wanted_language(instruction)
         foreign = ("other_language",) if named and source and LANGUAGES[source_languages[i]] != named else ()  # the source instead of its translation
         for _ in range(2):  # cut anywhere but behind a stop; what follows a cut may be left as dots
@@ -468,7 +470,7 @@ def _made(pairs: list[tuple[str | None, str, str]], rng: random.Random, language
                     add((instruction, source, "\n".join([*stopped, last[: len(last) // 2]])), "truncated")
         if (short := _SAYING.findall(target)) and rng.random() < 0.4:  # an answer of a word or two
             add((instruction, source, " ".join(short[rng.randrange(len(short)) :][: rng.randrange(1, 4)]).capitalize() + rng.choice((".", ".", f", {rng.randrange(1500, 2030)}."))))
-        if source and (parts := _MODEL.units(source)):
+        if source and (parts := model.units(source)):
             shown = rng.choice((source, source, source.upper(), source.lower(), source.replace(" ", "\n", 3), rng.choice(("Here is the text:", "Result:", "Sure, here you go:", "Voici le texte :", "Hier ist der Text:")) + "\n" + source, source.replace(", ", " "), "> " + source, f"**{source}**"))
             add((instruction, source, shown), "copy", *foreign, *(("truncated",) if breaks_off(source) else ()))
             words = [m.span() for m in _SAYING.finditer(source)]
@@ -569,8 +571,9 @@ def fit_pairs(pairs: list[tuple[str | None, str | None, str | None]], reference:
         p, truth = model.scores(x.take(kept & held)), y[kept & held] > 0.5
         for d, name in enumerate(DEFECTS):
             found = np.sort(p[truth[:, d], d])
-            if name in EXACT and len(found):  # the exact check settles precision: nearly all held-out cases are kept
-                model.thresholds[d] = min(0.5, float(found[int((1 - RECALL) * len(found))]))
+            if name in EXACT and len(found):  # the exact check settles precision: nearly all held-out cases are kept, with a margin of MARGIN in log odds
+                least = min(0.5, max(1e-9, float(found[int((1 - RECALL) * len(found))])))
+                model.thresholds[d] = 1 / (1 + math.exp(MARGIN - math.log(least / (1 - least))))
             elif len(found):
                 model.thresholds[d] = _threshold(p[:, d], truth[:, d])
     return model

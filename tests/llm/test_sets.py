@@ -249,3 +249,25 @@ def test_many_leaks_in_one_document(spark):
     d = spark.createDataFrame([(1, " ".join(leaked))], "doc_id long, text string")
     t = spark.createDataFrame([(k, s + " " + _sentence(rng)) for k, s in enumerate(leaked)], "item_id long, text string")
     assert {r.item for r in leak.contained_items(d, "doc_id", t, "item_id").collect()} == set(range(500))
+
+
+def test_one_size_of_many_items(spark, monkeypatch):
+    """A size that most items have is ranked in several parts; every piece still has one container, and none is overfull."""
+    monkeypatch.setattr(packing, "PART", 40)
+    items = spark.createDataFrame([(i, 10 if i % 3 else 1 + i % 29) for i in range(1500)], "id long, tokens long")
+    rows = packing.pack(items, spark.createDataFrame([("a", 64)], "spec_id string, capacity long")).collect()
+    used = {}
+    for r in rows:
+        used[r.container] = used.get(r.container, 0) + r.tokens
+    assert len(rows) == 1500 and max(used.values()) <= 64
+    assert len(used) == best_fit_plain([r.tokens for r in items.collect()], 64)
+
+
+def test_copies_of_two_spellings(spark):
+    """Copies of a spelling do not meet each other, only those of the other spelling."""
+    rows = [(i, "The old cat") for i in range(40)] + [(100 + i, "The old cat") for i in range(3)] + [(200, "The o​ld cat"), (300, "another"), (301, "another")]
+    from inkstrata.llm import canon
+
+    got = {tuple(r) for r in canon.same_look_pairs(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    want = {(i, 100 + k) for i in range(40) for k in range(3)} | {(i, 200) for i in range(40)} | {(100 + k, 200) for k in range(3)}
+    assert got == want

@@ -241,3 +241,14 @@ def test_unstopped_text_is_split_between_words():
     assert [heading] == [heading[a:b] for a, b in model.units(heading)]
     thai = "สวัสดีครับ ผมชื่อสมชาย วันนี้อากาศดีมาก เราไปเดินเล่นที่สวนกันเถอะ"
     assert [thai[a:b] for a, b in model.units(thai)] == thai.split()
+
+
+def test_token_totals_of_repeated_and_missing_ids(spark):
+    """Rows count by themselves: equal ids and null ids lose or double nothing, cut documents neither."""
+    big = "some words here, " * 2500
+    rows = [(1, "a b c", "x", "en", "d"), (1, "a b c", "x", "en", "d"), (None, "a b", "x", "en", "d"), (2, big, "x", "en", "d"), (2, big, "x", "en", "d"), (3, None, "x", "en", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, domain string")
+    size = len(tokens.encoding(tokens.vocabulary_path()).encode_ordinary(big))
+    total = {r.level: (r.documents, r.chars, r.tokens) for r in tokens.token_budget(df, "doc_id", "text", "source", "lang", "domain").collect()}["all"]
+    assert total == (6, 13 + 2 * len(big), 8 + 2 * size)
+    assert sorted((r.id, r.tokens) for r in tokens.document_tokens(df, "doc_id").collect()) == [(1, 3), (1, 3), (2, size), (2, size)]
