@@ -15,6 +15,12 @@ def weighted_ai_fraction(human: Column, assisted: Column, ai: Column) -> Column:
     return F.coalesce(F.try_divide(0.5 * assisted + ai, total), F.lit(0.0))
 
 
+def uniform_spans(length: Column, label: Column) -> Column:
+    """One span over the whole text; none for an empty one."""
+    span = F.struct(F.lit(0).cast("int").alias("span_start"), length.cast("int").alias("span_end"), label.cast("int").alias("label"))
+    return F.when(length > 0, F.array(span)).otherwise(F.array().cast("array<struct<span_start:int,span_end:int,label:int>>"))
+
+
 def span_chars(spans: Column, label: int) -> Column:
     """Characters under a label."""
     return F.aggregate(F.filter(spans, lambda s: s["label"] == label), F.lit(0).cast("long"), lambda n, s: n + (s["span_end"] - s["span_start"]))

@@ -1,13 +1,16 @@
 """Linear-chain decoding of a document's tokens: recursions that relational operators cannot express.
 
-Each document is one group of bounded size (its tokens), decoded by numpy in an Arrow worker.
+Each document is one list of its tokens, decoded by numpy in an Arrow worker.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def transitions(mixed: np.ndarray, smooth: float, gamma: float) -> np.ndarray:
@@ -107,15 +110,39 @@ def merge_short_runs(labels: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def decode(tokens: DataFrame, doc: str, smooth: float = 4.0, gamma: float = 0.5, least: int = 32) -> DataFrame:
-    """Adds ``label`` (Viterbi), ``merged`` (short runs merged) and ``confidence`` to ``doc, pos, u0, u1, u2, mixed_logodds``."""
-    kind = tokens.schema[doc].dataType.simpleString()
+DECODED = "array<struct<label:int,merged:int,confidence:double>>"
+
+
+def _one(u: np.ndarray, mixed: np.ndarray, smooth: float, gamma: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    change = transitions(mixed, smooth, gamma)
+    labels = viterbi(u, change)
+    return labels, merge_short_runs(labels, least), marginals(u, change).max(axis=1) if len(u) else np.zeros(0)
+
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("pos")
-        u = g[["u0", "u1", "u2"]].to_numpy(float)
-        change = transitions(g["mixed_logodds"].to_numpy(float), smooth, gamma)
-        labels = viterbi(u, change)
-        return pd.DataFrame({doc: g[doc], "pos": g["pos"], "label": labels, "merged": merge_short_runs(labels, least), "confidence": marginals(u, change).max(axis=1)})
+def decode_lists(docs: DataFrame, potentials: str, smooth: float = 4.0, gamma: float = 0.5, least: int = 32) -> DataFrame:
+    """Adds ``decoded``, the decoded labels of a document's tokens, from a column of ``array<struct<u0,u1,u2,mixed_logodds>>`` in order; no row leaves its task."""
+    rest = [c for c in docs.columns if c != potentials]
+    rows = docs.select(*rest, potentials)
 
-    return tokens.select(doc, "pos", "u0", "u1", "u2", "mixed_logodds").groupBy(doc).applyInPandas(one, f"{doc} {kind}, pos int, label int, merged int, confidence double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(rest))
+            flat = lists.flatten()
+            u = np.stack([np.asarray(flat.field(i), float) for i in range(3)], axis=1) if len(flat) else np.zeros((0, 3))
+            mixed = np.asarray(flat.field(3), float)
+            sizes = np.asarray(lists.value_lengths().fill_null(0))
+            parts = [_one(u[e - n : e], mixed[e - n : e], smooth, gamma, least) for n, e in zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)]
+            labels, merged, sure = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
+            own = pa.StructArray.from_arrays([pa.array(labels, pa.int32(), safe=False), pa.array(merged, pa.int32(), safe=False), pa.array(sure, pa.float64())], ["label", "merged", "confidence"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), own)], [*rest, "decoded"])
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
+    return rows.mapInArrow(run, f"{fields}, decoded {DECODED}" if rest else f"decoded {DECODED}")
+
+
+def decode(tokens: DataFrame, doc: str, smooth: float = 4.0, gamma: float = 0.5, least: int = 32) -> DataFrame:
+    """``label`` (Viterbi), ``merged`` (short runs merged) and ``confidence`` of tokens ``doc, pos, u0, u1, u2, mixed_logodds``."""
+    order = F.sort_array(F.collect_list(F.struct("pos", "u0", "u1", "u2", "mixed_logodds")))
+    lists = tokens.groupBy(doc).agg(order.alias("t")).select(doc, F.col("t.pos").alias("at"), F.transform("t", lambda t: F.struct(*[t[c].cast("double").alias(c) for c in ("u0", "u1", "u2", "mixed_logodds")])).alias("p"))
+    out = decode_lists(lists, "p", smooth, gamma, least)
+    return out.select(doc, F.explode(F.arrays_zip("at", "decoded")).alias("z")).select(doc, F.col("z.at").alias("pos"), "z.decoded.label", "z.decoded.merged", "z.decoded.confidence")

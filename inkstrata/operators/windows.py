@@ -14,25 +14,35 @@ from ..functions.labels import segment_prior, weighted_ai_fraction
 _SPACE = " \t\n\x0b\f\r"
 
 
-def word_tokens(df: DataFrame, doc: str, text: str = "text") -> DataFrame:
-    """``doc, pos, token_start, token_end`` of runs without ASCII white space, one row a token."""
+TOKEN_LIST = "array<struct<token_start:int,token_end:int>>"
+
+
+def token_lists(df: DataFrame, doc: str, *keep: str, text: str = "text") -> DataFrame:
+    """``doc, keep, tokens``: the runs without ASCII white space of each text as one list, so what is computed on a document's tokens needs no shuffle."""
     import re
 
+    import numpy as np
+
     solid = re.compile(f"[^{_SPACE}]+")
-    kind = df.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, pos, start, end = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                spans = [m.span() for m in solid.finditer(t)]
-                ids += [i] * len(spans)
-                pos += range(len(spans))
-                start += [s for s, _ in spans]
-                end += [e for _, e in spans]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(pos, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [doc, "pos", "token_start", "token_end"])
+            flat, ends = [], [0]
+            for t in b.column(b.num_columns - 1).to_pylist():
+                flat += [m.span() for m in solid.finditer(t)]
+                ends.append(len(flat))
+            both = np.array(flat, np.int32).reshape(-1, 2)
+            own = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["token_start", "token_end"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own)], [doc, *keep, "tokens"])
 
-    return df.where(F.col(text).isNotNull()).select(doc, text).mapInArrow(run, f"{doc} {kind}, pos int, token_start int, token_end int")
+    rows = df.where(F.col(text).isNotNull()).select(doc, *keep, text)
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (doc, *keep))
+    return rows.mapInArrow(run, f"{fields}, tokens {TOKEN_LIST}")
+
+
+def word_tokens(df: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """``doc, pos, token_start, token_end`` of runs without ASCII white space, one row a token."""
+    return token_lists(df, doc, text=text).select(doc, F.posexplode("tokens").alias("pos", "t")).select(doc, "pos", "t.token_start", "t.token_end")
 
 
 def midpoint_label(spans: Column, start: Column, end: Column) -> Column:
@@ -48,10 +58,17 @@ def window_bounds(n: Column, width: int = 512, stride: int = 256) -> Column:
 
 
 def window_targets(tokens: DataFrame, doc: str, width: int = 512, stride: int = 256, mixed: float = 0.15) -> DataFrame:
-    """Weighted AI fraction and mixed flag of each window, from labelled tokens ``doc, pos, label, chars``."""
-    size = tokens.groupBy(doc).agg((F.max("pos") + 1).alias("n")).select(doc, F.explode(window_bounds(F.col("n"), width, stride)).alias("w")).select(doc, "w.lo", "w.hi")
-    # A token lies in the windows of its own document only: joined by document, one row for each window it lies in.
-    inside = tokens.join(size, doc).where((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
+    """Weighted AI fraction and mixed flag of each window, from labelled tokens ``doc, pos, label, chars`` (and ``n``, the document's tokens, where it is known)."""
+    if "n" not in tokens.columns:
+        tokens = tokens.join(tokens.groupBy(doc).agg((F.max("pos") + 1).alias("n")), doc)
+    # The windows that hold a token follow from its place: those of the stride that begin at most a width before it, and the last one of the document.
+    pos, n = F.col("pos"), F.col("n")
+    low, high = F.greatest(F.lit(0), F.ceil((pos - width + 1) / F.lit(stride)).cast("int")), F.least(F.floor(pos / F.lit(stride)), F.floor((n - width - 1) / F.lit(stride))).cast("int")
+    regular = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda k: (k * stride).cast("int"))).otherwise(F.array().cast("array<int>"))
+    last = F.when(pos >= n - width, F.array((n - width).cast("int"))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(n <= width, F.array(F.lit(0))).otherwise(F.concat(regular, last))
+    inside = tokens.select(doc, "label", "chars", "n", F.explode(starts).alias("lo"))
+    inside = inside.select(doc, "lo", F.least(F.col("lo") + width, F.col("n")).cast("int").alias("hi"), "label", "chars")
     chars = [F.sum(F.when(F.col("label") == c, F.col("chars")).otherwise(0)) for c in range(3)]
     share = [F.count_if(F.col("label") == c) for c in range(3)]
     return inside.groupBy(doc, "lo", "hi").agg(weighted_ai_fraction(*chars).alias("f_ai"), ((1.0 - F.greatest(*share) / F.count("*")) > mixed).alias("mixed"))

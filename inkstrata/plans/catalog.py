@@ -143,9 +143,7 @@ _OLD = " OR ".join(f"contains(lower(coalesce(generator,'')),'{m}')" for m in ("t
 @query(f"SELECT generator, count(*)::BIGINT AS kept FROM {SAMPLES} WHERE l='ai' AND NOT (({_OLD}) AND {u('legacy', 'sample_id')}>0.25) GROUP BY ALL")
 def legacy_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the samples of older generators, all others; the markers are those of this table's generators."""
-    name = F.lower(F.coalesce("generator", F.lit("")))
-    old = F.contains(name, F.lit("tessera")) | F.contains(name, F.lit("parrot")) | F.contains(name, F.lit("kestrel"))
-    rows = _samples(spark, sf_dir).where("l = 'ai'").where(~(old & (X.uniform(0, "legacy", F.col("sample_id")) > 0.25)))
+    rows = S.legacy_thinned(_samples(spark, sf_dir).where("l = 'ai'"), "generator", 0.25, "sample_id", markers=("tessera", "parrot", "kestrel"))
     return rows.groupBy("generator").agg(F.count("*").alias("kept"))
 
 
@@ -371,10 +369,9 @@ LABELLED = f"(SELECT t.*, (t.token_end-t.token_start)::BIGINT AS chars, coalesce
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word tokens of all documents with the label under their middle."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "spans")
-    spans = docs.where("spans is not null and size(spans) > 0").select("doc_id", "spans")
-    rows = N.word_tokens(docs, "doc_id").join(spans, "doc_id")
-    return rows.select("doc_id", "pos", "token_start", "token_end", (F.col("token_end") - F.col("token_start")).cast("long").alias("chars"), N.midpoint_label(F.col("spans"), F.col("token_start"), F.col("token_end")).alias("label"))
+    docs = table(spark, sf_dir, "documents").where("spans is not null and size(spans) > 0")
+    rows = N.token_lists(docs, "doc_id", "spans").select("doc_id", "spans", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "t")).select("doc_id", "spans", "n", "pos", "t.*")
+    return rows.select("doc_id", "n", "pos", "token_start", "token_end", (F.col("token_end") - F.col("token_start")).cast("long").alias("chars"), N.midpoint_label(F.col("spans"), F.col("token_start"), F.col("token_end")).alias("label"))
 
 
 @query(f"SELECT label, count(*)::BIGINT AS tokens, sum(chars)::BIGINT AS chars FROM {LABELLED} GROUP BY ALL")
@@ -559,33 +556,34 @@ def potts_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.decode import decode
+    """``doc_id, n_chars, tokens, decoded`` of each document with spans, from surrogate potentials; a row a document, no shuffle."""
+    from ..operators.decode import decode_lists
 
-    rows = _guessed(spark, sf_dir)
-    hit = lambda c: F.when(F.col("predicted") == c, 2.0).otherwise(0.0)
-    return decode(rows.select("doc_id", "pos", hit(0).alias("u0"), hit(1).alias("u1"), hit(2).alias("u2"), F.lit(0.0).alias("mixed_logodds")), "doc_id", least=8)
+    docs = table(spark, sf_dir, "documents").where("spans is not null and size(spans) > 0")
+    rows = N.token_lists(docs, "doc_id", "spans", "n_chars")
+
+    def potentials(t, pos):  # noqa: ANN001, ANN202
+        label = N.midpoint_label(F.col("spans"), t["token_start"], t["token_end"])
+        guess = F.when(X.uniform(0, "guess", F.col("doc_id"), pos) < 0.9, label).otherwise((label + 1) % 3)
+        return F.struct(*[F.when(guess == c, 2.0).otherwise(0.0).alias(f"u{c}") for c in range(3)], F.lit(0.0).alias("mixed_logodds"))
+
+    return decode_lists(rows.select("doc_id", "n_chars", "tokens", F.transform("tokens", potentials).alias("p")), "p", least=8)
 
 
 @query()
 def crf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain-decoded labels, short runs merged, with confidence."""
-    return _decoded(spark, sf_dir)
+    z = _decoded(spark, sf_dir).select("doc_id", F.posexplode("decoded").alias("pos", "d"))
+    return z.select("doc_id", "pos", "d.*")
 
 
 @query()
 def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of the decoded labels that cover each text, and the verdict of the document."""
-    from pyspark.sql import Window as W
+    """Segments of the decoded labels that cover each text, and the document's class by their characters."""
+    from ..operators.segments import segment_lists, verdict
 
-    tokens = N.word_tokens(table(spark, sf_dir, "documents"), "doc_id").join(_decoded(spark, sf_dir), ["doc_id", "pos"])
-    own = W.partitionBy("doc_id").orderBy("pos")
-    marked = tokens.withColumn("c", F.coalesce((F.lag("merged").over(own) != F.col("merged")).cast("int"), F.lit(0))).withColumn("run", F.sum("c").over(own))
-    runs = marked.groupBy("doc_id", "run").agg(F.max("token_end").alias("end"), F.first("merged").alias("label"), F.avg("confidence").alias("confidence"))
-    order = W.partitionBy("doc_id").orderBy("run")
-    size = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    last = F.lead("run").over(order).isNull()
-    seg = runs.join(size, "doc_id").withColumn("seg_start", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("seg_end", F.when(last, F.col("n_chars")).otherwise(F.col("end")))
-    return seg.select("doc_id", "run", "seg_start", "seg_end", "label", F.round("confidence", 6).alias("confidence"))
+    rows = segment_lists(_decoded(spark, sf_dir), "tokens", "decoded", "n_chars").withColumn("v", verdict(F.col("segments"), F.col("n_chars")))
+    return rows.select("doc_id", F.col("v.label").alias("verdict"), F.posexplode("segments").alias("run", "s")).select("doc_id", F.col("run").cast("long").alias("run"), "s.seg_start", "s.seg_end", "s.label", F.round("s.confidence", 6).alias("confidence"), "verdict")
 
 
 @query()

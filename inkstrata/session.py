@@ -1,10 +1,8 @@
-"""Sessions and lineage cuts."""
+"""Sessions."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int = 8, name: str = "inkstrata", **conf: str) -> SparkSession:
@@ -12,10 +10,3 @@ def local_session(cores: int = 8, name: str = "inkstrata", **conf: str) -> Spark
     settings = {"spark.sql.shuffle.partitions": str(cores), "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "8g"} | conf
     return SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=settings).getOrCreate()
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; one of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkstrata-"))
-    return df.checkpoint()

@@ -34,6 +34,70 @@ def read_json_lines(spark: SparkSession, paths: str | list[str], schema: T.Struc
     return spark.read.text(paths).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
 
 
+def existing(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The paths that the patterns match, sorted; a pattern that matches nothing stands for itself."""
+    from py4j.java_gateway import java_import
+
+    jvm, out = spark._jvm, []
+    java_import(jvm, "org.apache.hadoop.fs.Path")
+    for p in patterns:
+        path = jvm.Path(p)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        out += sorted(str(f.getPath()) for f in found) if found else [p]
+    return out
+
+
+def text_field(spark: SparkSession, paths: str | list[str], field: str = "text") -> DataFrame:
+    """One field of JSON lines as ``text``; torn lines and empty texts are left out."""
+    rows = sound_lines(read_json_lines(spark, paths, T.StructType([T.StructField(field, T.StringType())])))
+    return rows.select(F.col(field).alias("text")).where("text is not null and text != ''")
+
+
+def write_splits(df: DataFrame, path: str, ident: str, spec: dict, seed: int = 0) -> dict[str, int]:
+    """Documents as JSON lines, a folder a split, in the order of a hash of their ids, and ``spec.json`` with the parameters and the number of rows of each split."""
+    import json
+
+    from ..functions.text import uniform
+
+    counts = {r[0]: r[1] for r in df.groupBy("split").count().collect()}  # a row a split
+    mixed = df.withColumn("_u", uniform(seed, "shuffle", F.col(ident))).repartitionByRange("split", "_u").sortWithinPartitions("split", "_u", ident).drop("_u")
+    write_documents(mixed, path, by="split")
+    one = df.sparkSession.createDataFrame([(json.dumps(spec | {"seed": seed, "documents": counts}, sort_keys=True),)], "value string")
+    one.coalesce(1).write.mode("overwrite").text(f"{path}-spec")
+    return counts
+
+
+def write_pairs(df: DataFrame, path: str) -> None:
+    """Appends pairs as JSON lines; the commit of a batch is all or nothing."""
+    df.select("id", "source_id", "source", "target", "instruction", "intensity", "generator", "tier", "source_name").write.mode("append").json(path)
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A report of bounded size as one JSON file in a folder."""
+    import json
+
+    spark.createDataFrame([(json.dumps(report, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_mined(cases: DataFrame, counters: DataFrame, path: str) -> dict:
+    """Mined cases as JSON lines and their counters beside them."""
+    cases.write.mode("overwrite").json(path)
+    stats = counters.first().asDict()
+    write_report(cases.sparkSession, stats, f"{path}_stats")
+    return stats
+
+
+def cached_subset(spark: SparkSession, folder: str, key: tuple, make) -> DataFrame:  # noqa: ANN001
+    """What ``make()`` gives, kept as Parquet in a shared folder under the hash of its parameters: the same parameters read it again."""
+    import hashlib
+
+    path = f"{folder.rstrip('/')}/{hashlib.md5(repr(key).encode()).hexdigest()}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def sound_lines(rows: DataFrame) -> DataFrame:
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
@@ -74,12 +138,13 @@ _NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def docx_text(content: bytes) -> str:
-    """Paragraphs of a DOCX file, tabs and breaks kept, blank lines between them."""
+    """Paragraphs of a DOCX file, tabs and breaks as blanks, runs of blanks as one, blank lines between paragraphs."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
-    text_of = {f"{_NS}tab": "\t", f"{_NS}br": "\n"}
-    paragraphs = ("".join(n.text or "" if n.tag == f"{_NS}t" else text_of.get(n.tag, "") for n in p.iter()) for p in root.iter(f"{_NS}p"))
-    return "\n\n".join(p.strip() for p in paragraphs if p.strip())
+    blank = {f"{_NS}{n}" for n in ("tab", "br", "cr")}
+    paragraphs = ("".join(n.text or "" if n.tag == f"{_NS}t" else " " * (n.tag in blank) for n in p.iter()) for p in root.iter(f"{_NS}p"))
+    tidy = (re.sub(r"\s{2,}", " ", p).strip() for p in paragraphs)
+    return "\n\n".join(p for p in tidy if p)
 
 
 SUFFIX = re.compile(r"\.(docx|txt|md)$", re.IGNORECASE)

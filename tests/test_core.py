@@ -262,7 +262,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "f" / "a.docx").write_bytes(buf.getvalue())
     (tmp_path / "f" / "b.txt").write_text("plain", encoding="utf-8")
     (tmp_path / "f" / "c.pdf").write_bytes(b"x")
-    assert {r.path.rsplit("/", 1)[1]: r.text for r in IO.read_text_files(spark, str(tmp_path / "f")).collect()} == {"a.docx": "One\ttwo\n\nThree", "b.txt": "plain"}
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in IO.read_text_files(spark, str(tmp_path / "f")).collect()} == {"a.docx": "One two\n\nThree", "b.txt": "plain"}
     cut = IO.boundary_documents(spark.createDataFrame([("x", " ".join(["w"] * 70), 10), ("y", "w w", 1), ("z", " ".join(["w"] * 70), 0)], "id string, text string, at int"), "id", "text", "at")
     assert [(r.id, [tuple(s) for s in r.spans]) for r in cut.collect()] == [("x", [(0, 20, 0), (20, 139, 2)])]
 
