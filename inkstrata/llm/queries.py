@@ -154,7 +154,28 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p3_token_budget, p3_document_tokens, p4_found, p4_report, p4_sample, p5_found, p5_splits, p6_found, p6_languages, p7_found, p7_defects, p8_containers, p8_fill, p9_found, p10_found)}
+def p3_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and code points by source, by domain and in all, from the token totals."""
+    rows = p3_token_budget(spark, sf_dir).where("level in ('source', 'domain', 'all')")
+    return rows.select("level", F.coalesce("source", "domain").alias("slice"), "documents", "chars")
+
+
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a place, for each capacity: all with a text."""
+    rows = p8_containers(spark, sf_dir).select("spec_id", "doc_id").distinct()
+    return rows.groupBy("spec_id").agg(F.count("*").alias("documents"))
+
+
+def p10_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters and digits within each document's sentence units: all of them, each once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    units = p10_found(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_start", "sent_end"))).alias("units"))  # a document's own units
+    rows = docs.where("text is not null").join(units, "doc_id")
+    said = F.array_join(F.transform("units", lambda u: F.substring(F.col("text"), u["sent_start"].cast("int") + 1, (u["sent_end"] - u["sent_start"]).cast("int"))), "")
+    return rows.select("doc_id", F.length(F.regexp_replace(said, r"[^\p{L}\p{Nd}]", "")).cast("long").alias("letters"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_report, p3_token_budget, p3_document_tokens, p3_slices, p4_found, p4_report, p4_sample, p5_found, p5_splits, p6_found, p6_languages, p7_found, p7_defects, p8_containers, p8_fill, p8_placed, p9_found, p10_found, p10_letters)}
 # SQL for the queries that SQL can say -----------------------------------------------------------------
 _TOPIC = lambda c: rf"regexp_replace(lower(trim({c})),'[\s_\-./]+','','g')"
 _LABEL = r"nullif(lower(regexp_replace(label,'^\s+|\s+$','','g')),'')"
@@ -169,4 +190,10 @@ reach(node, root) AS (SELECT node, node FROM n UNION SELECT e.b, reach.root FROM
 comp AS (SELECT node, min(root) AS c FROM reach GROUP BY 1), m AS (SELECT DISTINCT record_id, c FROM n JOIN comp USING (node)),
 g AS (SELECT c, min(record_id) AS group_id, count(*) AS members FROM m GROUP BY 1)
 SELECT record_id, group_id FROM m JOIN g USING (c) WHERE members>1"""
-ORACLE: dict[str, str] = {"p4_found": _P4, "p5_found": _P5}
+_SPLIT_DRAW = "('0x'||substr(md5('0:group-split:'||group_id),1,8))::BIGINT/4294967296.0::DOUBLE"
+_P5_SPLITS = _P5.replace("SELECT record_id, group_id FROM m JOIN g USING (c) WHERE members>1", f"SELECT record_id, group_id, CASE WHEN {_SPLIT_DRAW}<0.8 THEN 'train' WHEN {_SPLIT_DRAW}<0.8::DOUBLE+0.1::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM m JOIN g USING (c)")
+_CLEAN = lambda c: rf"coalesce(nullif(lower(trim(regexp_replace(split_part({c},'/',1),'[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+',' ','g'))),''),'unknown')"
+_P3_SLICES = f"WITH d AS (SELECT {_CLEAN('source')} AS source, {_CLEAN('domain')} AS domain, coalesce(length(text),0) AS n FROM documents) SELECT 'source' AS level, source AS slice, count(*)::BIGINT AS documents, sum(n)::BIGINT AS chars FROM d GROUP BY 2 UNION ALL SELECT 'domain', domain, count(*)::BIGINT, sum(n)::BIGINT FROM d GROUP BY 2 UNION ALL SELECT 'all', NULL, count(*)::BIGINT, sum(n)::BIGINT FROM d"
+_P8_PLACED = "SELECT spec_id, (SELECT count(*) FROM documents WHERE length(text)>0)::BIGINT AS documents FROM pack_capacities WHERE capacity_tokens>0"
+_P10_LETTERS = r"SELECT doc_id, length(regexp_replace(text,'[^\p{L}\p{Nd}]','','g'))::BIGINT AS letters FROM documents WHERE regexp_matches(text,'[^\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}\x{0085}]')"
+ORACLE: dict[str, str] = {"p3_slices": _P3_SLICES, "p4_found": _P4, "p5_found": _P5, "p5_splits": _P5_SPLITS, "p8_placed": _P8_PLACED, "p10_letters": _P10_LETTERS}
