@@ -30,12 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
 CHARS = 1 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each piece holds about CHARS code points of the text columns (a longer text alone)."""
+def pieces(batches: Iterator[pa.RecordBatch], *columns: int, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each piece holds about ``chars`` code points of the text columns (a longer text alone)."""
     for b in batches:
         size = np.cumsum(sum(np.asarray(pc.fill_null(pc.utf8_length(b.column(c)), 0)) for c in columns))
         at = 0
         while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, "right")))
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chars, "right")))
             yield b.slice(at, end - at)
             at = end
