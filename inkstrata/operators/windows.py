@@ -36,6 +36,9 @@ def token_lists(df: DataFrame, doc: str, *keep: str, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own)], [doc, *keep, "tokens"])
 
     rows = df.where(F.col(text).isNotNull()).select(doc, *keep, text)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows.rdd.getNumPartitions() < tasks:  # a few files: the texts are spread before they grow into tokens
+        rows = rows.repartition(tasks, doc)
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (doc, *keep))
     return rows.mapInArrow(run, f"{fields}, tokens {TOKEN_LIST}")
 
