@@ -243,6 +243,19 @@ def test_unstopped_text_is_split_between_words():
     assert [thai[a:b] for a, b in model.units(thai)] == thai.split()
 
 
+def test_sentence_fit_reads_all_texts(spark):
+    """What only a text of more than 20,000 code points tells is learned as well, in equal numbers however the rows are spread."""
+    long = " ".join(s.capitalize() + "." for story in _stories(400, 3) for s in story)
+    told = _stories(5, 4)
+    df = spark.createDataFrame([(0, long), (1, None), *((k + 2, " ".join(x)) for k, x in enumerate(told))], "doc_id long, text string")
+    got = {(r.id, r.sent_start) for r in sentences.sentence_units(df, "doc_id").where("id > 1").collect()}
+    true = {(k + 2, len(" ".join(x[:i])) + (i > 0)) for k, x in enumerate(told) for i in range(len(x))}
+    assert len(long) > 20_000 and len(got & true) > 0.9 * len(true) and len(got & true) > 0.9 * len(got)
+    model, alone = sentences.fit_on(df.repartition(3)), sentences.fit_boundaries([r.text for r in df.where("text is not null").collect()])
+    assert model.words.all == len((long + " " + " ".join(" ".join(x) for x in told)).split()) and model.words.words == alone.words.words
+    assert (model.words.table == alone.words.table).all() and (model.left.yes == alone.left.yes).all() and (model.right.no == alone.right.no).all()
+
+
 def test_token_totals_of_repeated_and_missing_ids(spark):
     """Rows count by themselves: equal ids and null ids lose or double nothing, cut documents neither."""
     big = "some words here, " * 2500
