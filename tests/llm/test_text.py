@@ -256,6 +256,20 @@ def test_sentence_fit_reads_all_texts(spark):
     assert (model.words.table == alone.words.table).all() and (model.left.yes == alone.left.yes).all() and (model.right.no == alone.right.no).all()
 
 
+def test_languages_are_learned_from_whole_texts(spark, tmp_path):
+    """Words that stand in labelled texts only beyond their first 16,000 code points tell the language of a sample without a label; a wrong label teaches nothing."""
+    from inkstrata.llm.queries import p6_found
+
+    rng = random.Random(5)
+    words = {lang: ["".join(rng.choice("bdklmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(40)] for lang in ("en", "es")}
+    say = lambda lang, n: " ".join(" ".join(rng.choice(words[lang]) for _ in range(8)).capitalize() + "." for _ in range(n))
+    usual = {"en": ENGLISH, "es": SPANISH}
+    rows = [(f"{lang}{k}", (usual[lang] + " ") * (20_000 // len(usual[lang]) + 1) + say(lang, 60), f"x/{lang}") for lang in usual for k in range(8)]
+    rows += [("none-en", say("en", 3), "x"), ("none-es", say("es", 3), "x"), ("wrong", say("es", 4), "x/en"), ("null", None, "x/en")]
+    spark.createDataFrame(rows, "sample_id string, text string, domain string").selectExpr("*", "timestamp '2024-01-01' AS loaded_at").write.parquet(f"{tmp_path}/hf_samples.parquet")
+    assert {tuple(r) for r in p6_found(spark, str(tmp_path)).collect()} == {("none-en", 0, "en"), ("none-es", 0, "es"), ("wrong", 0, "es")}
+
+
 def test_token_totals_of_repeated_and_missing_ids(spark):
     """Rows count by themselves: equal ids and null ids lose or double nothing, cut documents neither."""
     big = "some words here, " * 2500
